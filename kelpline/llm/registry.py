@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .op4_jaccard_join import jaccard_pairs
+from .op7_decontaminate import leak_spans
+from .op9_toxicity import toxic_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,20 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8)
+
+
+def op9_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_train=8000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_fm_index_decontamination": op7_fm_index_decontamination,
+    "op9_toxic_documents": op9_toxic_documents,
 }
 SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": sql.JACCARD_SQL,
+    "op7_fm_index_decontamination": sql.DECONTAMINATE_SQL,
 }

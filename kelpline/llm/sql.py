@@ -23,3 +23,20 @@ FROM pairs WHERE overlap / (sa + sb - overlap)::DOUBLE >= 0.5
 UNION ALL
 SELECT head, m, len(gs), 1.0 FROM (SELECT head, gs, unnest(members) AS m FROM heads) WHERE m <> head
 """
+
+DECONTAMINATE_SQL = rf"""
+WITH item AS (SELECT row_number() OVER () AS item, {WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+phrase AS (
+  SELECT DISTINCT item, least(8, len(ws)) AS n, array_to_string(ws[i : i + least(8, len(ws)) - 1], ' ') AS p
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 0) + 2)) AS i FROM item WHERE len(ws) > 0)
+),
+doc AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+spot AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM phrase) WHERE len(ws) >= n),
+hit AS (
+  SELECT doc_id, i - 1 AS a, i - 1 + s.n AS b, item
+  FROM (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS p FROM spot) s JOIN phrase USING (n, p)
+),
+flag AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hit),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b, item ROWS UNBOUNDED PRECEDING) AS k FROM flag)
+SELECT doc_id, min(a) AS word_start, max(b) AS word_end, count(DISTINCT item) AS n_items FROM isle GROUP BY doc_id, k
+"""
