@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .op1_packing import pack
+from .op3_secret_scan import secret_findings
 from .op4_jaccard_join import jaccard_pairs
 from .op7_decontaminate import leak_spans
 from .op9_toxicity import toxic_documents
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), window=4096)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
@@ -29,11 +39,14 @@ def op9_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_related_packing": op1_related_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op9_toxic_documents": op9_toxic_documents,
 }
 SQL: dict[str, str] = {
+    "op3_secret_scan": sql.SECRETS_SQL,
     "op4_ngram_jaccard_join": sql.JACCARD_SQL,
     "op7_fm_index_decontamination": sql.DECONTAMINATE_SQL,
 }

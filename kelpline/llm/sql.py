@@ -40,3 +40,19 @@ flag AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b
 isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b, item ROWS UNBOUNDED PRECEDING) AS k FROM flag)
 SELECT doc_id, min(a) AS word_start, max(b) AS word_end, count(DISTINCT item) AS n_items FROM isle GROUP BY doc_id, k
 """
+
+
+def secrets_sql() -> str:
+    from .op3_secret_scan import RULES
+
+    quoted = [(r.name, r.pattern.replace("'", "''")) for r in RULES]
+    each = " UNION ALL ".join(f"SELECT blob, '{name}' AS rule, unnest(regexp_extract_all(text, '{pattern}', 1)) AS secret FROM blobs" for name, pattern in quoted)
+    return f"""
+WITH versions AS (SELECT DISTINCT doc_id, source, sha256(text) AS blob FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+blobs AS (SELECT DISTINCT sha256(text) AS blob, text FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT blob, rule, secret, count(*) AS occurrences FROM ({each}) GROUP BY ALL)
+SELECT doc_id, source, blob, rule, secret, occurrences FROM versions JOIN hits USING (blob)
+"""
+
+
+SECRETS_SQL = secrets_sql()
