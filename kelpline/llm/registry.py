@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .op1_packing import pack
+from .op10_token_binary import token_binary
 from .op3_secret_scan import secret_findings
 from .op4_jaccard_join import jaccard_pairs
+from .op6_suffix_dedup import repeated_spans
 from .op7_decontaminate import leak_spans
+from .op8_chunk_dedup import duplicate_spans
 from .op9_toxicity import toxic_documents
 
 
@@ -30,10 +33,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8)
 
 
+def op8_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_spans(table(spark, sf_dir, "documents"), min_span=96)
+
+
+def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary(table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_train=8000)
 
@@ -42,11 +57,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_related_packing": op1_related_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
+    "op8_gear_chunk_dedup": op8_gear_chunk_dedup,
+    "op10_simple8b_tokens": op10_simple8b_tokens,
     "op9_toxic_documents": op9_toxic_documents,
 }
 SQL: dict[str, str] = {
     "op3_secret_scan": sql.SECRETS_SQL,
     "op4_ngram_jaccard_join": sql.JACCARD_SQL,
+    "op6_suffix_array_dedup": sql.SUFFIX_SQL,
     "op7_fm_index_decontamination": sql.DECONTAMINATE_SQL,
 }

@@ -56,3 +56,13 @@ SELECT doc_id, source, blob, rule, secret, occurrences FROM versions JOIN hits U
 
 
 SECRETS_SQL = secrets_sql()
+
+SUFFIX_SQL = rf"""
+WITH doc AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+run AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 50], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM doc WHERE len(ws) >= 50)),
+shared AS (SELECT p FROM run GROUP BY p HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT DISTINCT doc_id, i FROM run SEMI JOIN shared USING (p)),
+flag AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM flag)
+SELECT doc_id, min(i) AS word_start, max(i) + 50 AS word_end FROM isle GROUP BY doc_id, k
+"""
