@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .op1_packing import pack
 from .op10_token_binary import token_binary
+from .op2_brown_lm import brown_perplexity
 from .op3_secret_scan import secret_findings
 from .op4_jaccard_join import jaccard_pairs
+from .op5_rp_forest import nearest_neighbours
 from .op6_suffix_dedup import repeated_spans
 from .op7_decontaminate import leak_spans
 from .op8_chunk_dedup import duplicate_spans
@@ -25,6 +27,10 @@ def op1_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=4096)
 
 
+def op2_brown_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_perplexity(table(spark, sf_dir, "documents"), classes=64, core_words=1024)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def op5_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), length=50)
 
@@ -55,8 +65,10 @@ def op9_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_related_packing": op1_related_packing,
+    "op2_brown_perplexity": op2_brown_perplexity,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_rp_forest_neighbours": op5_rp_forest_neighbours,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op8_gear_chunk_dedup": op8_gear_chunk_dedup,
