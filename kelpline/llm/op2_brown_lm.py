@@ -33,19 +33,23 @@ from .textkit import group_starts, words
 
 U64 = np.uint64
 BLOCK_WORDS = 1_500_000
-BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("counts", pa.binary())])
-BLOCKS_SQL = "block long, ids binary, known binary, sizes binary, tokens binary, vocabulary binary, counts binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("counts", pa.binary()), ("buckets", pa.binary())])
+BLOCKS_SQL = "block long, ids binary, known binary, sizes binary, tokens binary, vocabulary binary, counts binary, buckets binary"
 COUNTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 COUNTS_SQL = "bucket int, keys binary, counts binary"
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary())])
 CONTEXTS_SQL = "bucket int, block long, keys binary, counts binary, sizes binary, codes binary, times binary"
 CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("totals", pa.binary()), ("mass", pa.binary())])
 CLASSES_SQL = "block long, bucket int, classes binary, totals binary, mass binary"
-MERGED_SQL = BLOCKS_SQL + ", kind int, bucket int, classes binary, totals binary"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
 
-def to_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def home(names: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of each word."""
+    return (names & U64(0xFFFFFF)) % U64(parts)
+
+
+def to_blocks(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) batches to blocks; word numbers follow the block's sorted hashes."""
     pack = zstandard.ZstdCompressor(level=1)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -57,6 +61,7 @@ def to_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows(
             BLOCKS, block=[(part << 24) + serial], ids=[ids.tobytes()], known=[known.tobytes()], sizes=[sizes.astype(np.int32).tobytes()],
             tokens=[pack.compress(tokens.astype(np.uint32).tobytes())], vocabulary=[names.tobytes()], counts=[counts.astype(np.uint32).tobytes()],
+            buckets=[pack.compress(home(names, parts).astype(np.uint16).tobytes())],
         )
 
     for batch in batches(it):
@@ -77,7 +82,7 @@ def block_rows(it: Iterator[pa.RecordBatch]):
     unpack = zstandard.ZstdDecompressor()
     for batch in batches(it):
         for i in range(batch.num_rows):
-            x = {name: batch.column(name)[i].as_py() for name in BLOCKS.names}
+            x = {name: batch.column(name)[i].as_py() for name in BLOCKS.names if name != "buckets"}
             yield (
                 x["block"], np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool), np.frombuffer(x["sizes"], np.int32).astype(np.int64),
                 np.frombuffer(unpack.decompress(x["tokens"]), np.uint32), np.frombuffer(x["vocabulary"], U64), np.frombuffer(x["counts"], np.uint32).astype(np.int64),
@@ -85,7 +90,7 @@ def block_rows(it: Iterator[pa.RecordBatch]):
 
 
 def scatter(parts: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    order, at = split_by((keys & U64(0xFFFFFF)) % U64(parts), parts)
+    order, at = split_by(home(keys, parts), parts)
     live = np.flatnonzero(np.diff(at))
     return rows(COUNTS, bucket=live, keys=[keys[order[at[b] : at[b + 1]]].tobytes() for b in live], counts=[counts[order[at[b] : at[b + 1]]].astype(np.int64).tobytes() for b in live])
 
@@ -236,7 +241,7 @@ def contexts(parts: int, names: np.ndarray, label: np.ndarray, classes: int):
             word, code = key // (2 * classes), key % (2 * classes)
             size = np.bincount(word, minlength=len(vocabulary))
             begin = np.cumsum(size) - size
-            order, cut = split_by((vocabulary & U64(0xFFFFFF)) % U64(parts), parts)
+            order, cut = split_by(home(vocabulary, parts), parts)
             out: dict[str, list] = {f.name: [] for f in CONTEXTS}
             for b in np.flatnonzero(np.diff(cut)):
                 own = order[cut[b] : cut[b + 1]]
@@ -316,11 +321,12 @@ def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
         cls = np.where(known >= 0, known, cls)
         mass = np.stack([np.bincount(cls, weights=total, minlength=classes), np.bincount(cls, minlength=classes)])
         out: dict[str, list] = {f.name: [] for f in CLASSES}
+        pack = zstandard.ZstdCompressor(level=1)
         begin = np.cumsum(lens) - lens
         for j, (b, block) in enumerate(where):
             own = index[begin[j] : begin[j] + lens[j]]
-            out["block"].append(block), out["bucket"].append(b), out["classes"].append(cls[own].astype(np.uint16).tobytes())
-            out["totals"].append(total[own].astype(np.int64).tobytes()), out["mass"].append(mass.tobytes() if not j else None)
+            out["block"].append(block), out["bucket"].append(b), out["classes"].append(pack.compress(cls[own].astype(np.uint16).tobytes()))
+            out["totals"].append(pack.compress(total[own].astype(np.int64).tobytes())), out["mass"].append(mass.tobytes() if not j else None)
         yield rows(CLASSES, **out)
 
     return run
@@ -339,13 +345,12 @@ def annotated(it: Iterator[pa.RecordBatch], parts: int):
                 got.setdefault(x["block"], []).append((x["bucket"], x["classes"], x["totals"]))
     for block in sorted(base):
         x = base.pop(block)
-        vocabulary = np.frombuffer(x["vocabulary"], U64)
         tokens = np.frombuffer(unpack.decompress(x["tokens"]), np.uint32)
-        order, cut = split_by((vocabulary & U64(0xFFFFFF)) % U64(parts), parts)
-        cls, total = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+        order, cut = split_by(np.frombuffer(unpack.decompress(x["buckets"]), np.uint16), parts)
+        cls, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for b, c, t in got.pop(block, []):
             own = order[cut[b] : cut[b + 1]]
-            cls[own], total[own] = np.frombuffer(c, np.uint16), np.frombuffer(t, np.int64)
+            cls[own], total[own] = np.frombuffer(unpack.decompress(c), np.uint16), np.frombuffer(unpack.decompress(t), np.int64)
         yield np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool), np.frombuffer(x["sizes"], np.int32).astype(np.int64), cls[tokens], total[tokens]
 
 
@@ -392,7 +397,7 @@ def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024,
     """doc_id, n_words, log_prob and perplexity of every document that has a doc_id."""
     parts = min(65536, partitions(docs.sparkSession))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = checkpointed(texts.mapInArrow(to_blocks, BLOCKS_SQL))
+    blocks = checkpointed(texts.mapInArrow(lambda it: to_blocks(it, parts), BLOCKS_SQL))
     counted = to_buckets(blocks.mapInArrow(word_counts(parts), COUNTS_SQL), parts)
     top = counted.mapInArrow(summed(core_words), "key long, n long").orderBy(F.desc("n"), "key").limit(core_words).collect()
     core = np.array([r["key"] for r in top], np.int64).view(U64)
@@ -410,8 +415,9 @@ def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024,
         m = np.frombuffer(r[0], float).reshape(2, classes)
         mass, members = mass + m[0], members + m[1]
     empty = F.lit(None).cast("binary")
-    base = blocks.select(*BLOCKS.names, F.lit(0).alias("kind"), F.lit(0).alias("bucket"), empty.alias("classes"), empty.alias("totals")).drop("counts")
-    back = found.select("block", *(empty.alias(c) for c in BLOCKS.names[1:6]), F.lit(1).alias("kind"), "bucket", "classes", "totals")
+    own = ["ids", "known", "sizes", "tokens", "buckets"]
+    base = blocks.select("block", *own, F.lit(0).alias("kind"), F.lit(0).alias("bucket"), empty.alias("classes"), empty.alias("totals"))
+    back = found.select("block", *(empty.alias(c) for c in own), F.lit(1).alias("kind"), "bucket", "classes", "totals")
     merged = base.unionByName(back).withColumn("home", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
     merged = to_buckets(merged, parts, "home").drop("home")
     sums = merged.mapInArrow(transitions(parts, classes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
