@@ -18,7 +18,8 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(depth):
         key <<= bits
-        key[: n - j] |= text[j:] if j else text
+        if j < n:
+            key[: n - j] |= text[j:]
     order = np.argsort(key)
     key = key[order]
     head = np.ones(n, bool)

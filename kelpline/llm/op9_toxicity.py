@@ -142,6 +142,8 @@ def fit(sets: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarr
     scale = max(1.0, float(np.bincount(dc, minlength=m).max())) if len(dc) else 1.0
     w, bias = np.zeros(m), float(np.log(n1 / n0))
     vw, vb, lr = np.zeros(m), 0.0, 4.0 / (1 + mean / 4)
+    if len(dc):  # the penalty's curvature is at most its longest row times its (scaled) fullest column
+        lr = min(lr, 2.0 / max(1e-9, counterfactual * np.bincount(dr).max() / len(PREFIXES)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=n) + bias, -30, 30)))
         e = (p - y) / n
