@@ -16,10 +16,26 @@ def block_bit(source: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.substring(source, 4, 9).cast("int") % 9)
 
 
-def word_occurrences(docs: DataFrame) -> DataFrame:
-    """doc, pos, term, index_type, score, feature, len: one row a word, its document's length beside it."""
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table of one small file would keep one core busy.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def word_occurrences(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """doc, pos, term, index_type, score, feature, len: one row a word, its document's length beside it.
+
+    With terms, only these become rows: documents without them are dropped while they are scanned.
+    """
     base = docs.select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("ws"), block_bit(F.col("source")).alias("feature"))
     base = base.withColumn("len", F.size("ws"))
+    if terms is not None:
+        spots = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(terms))
+        some = base.select("doc", "feature", "len", F.explode(spots).alias("x"))
+        return some.select("doc", "x.pos", "x.term", F.lit(WORD).alias("index_type"), F.lit(1.0).alias("score"), "feature", "len")
     return base.select("doc", F.posexplode("ws").alias("pos", "term"), F.lit(WORD).alias("index_type"), F.lit(1.0).alias("score"), "feature", "len")
 
 
@@ -46,6 +62,20 @@ def anchor_occurrences(links: DataFrame, doc: str = "dst_sid") -> DataFrame:
     return base.select("doc", F.posexplode(tokens(F.col("anchor"))).alias("pos", "term"), F.lit(ANCHOR_WORD).alias("index_type"), F.col("n").cast("double").alias("score"), F.lit(0).cast("long").alias("feature"), F.lit(0).alias("len"))
 
 
+class Corpus:
+    """Documents as an index without a stored one: occurrences of chosen terms, and lengths without any explode."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.sparkSession = docs.sparkSession
+
+    def occurrences(self, terms: list[str]) -> DataFrame:
+        return word_occurrences(self.docs, terms)
+
+    def lengths(self) -> DataFrame:
+        return self.docs.select(F.col("doc_id").alias("doc"), F.size(tokens(F.col("text"))).alias("len")).where("len > 0")
+
+
 def last_wins(occurrences: DataFrame, order: str) -> DataFrame:
     """Of occurrences with one (doc, term, pos) the last by `order`."""
     w = W.partitionBy("doc", "index_type", "term", "pos").orderBy(F.desc(order))

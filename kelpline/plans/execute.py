@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import Weights, bm25, damping, final_score, occurrence_weight
 from ..functions.text import mask_match
+from ..operators.index import Corpus
 from .tree import OPTIONAL, Leaf, Node, number, optional
 
 CASE_BITS = 0x00FFFE00
@@ -26,9 +27,11 @@ def leaf_table(spark, tree: Node | Leaf) -> DataFrame:
     return spark.createDataFrame(found, "leaf int, term string, index_type int, basic boolean, dependency boolean, mask long")
 
 
-def statistics(occurrences: DataFrame, tree: Node | Leaf, compute_df: bool = True) -> DataFrame:
+def statistics(occurrences: DataFrame, tree: Node | Leaf, compute_df: bool = True, lengths: DataFrame | None = None) -> DataFrame:
     """One row: number of documents, average length, and the document frequency of each leaf."""
-    whole = occurrences.where("index_type = 0").groupBy("doc").agg(F.max("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("average"))
+    if lengths is None:
+        lengths = occurrences.where("index_type = 0").groupBy("doc").agg(F.max("len").alias("len"))
+    whole = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("average"))
     found = number(tree)
     if not compute_df:
         return whole.select("*", *(F.lit(float(x.gdf)).alias(f"df{x.id}") for x in found))
@@ -127,14 +130,18 @@ class Evaluator:
         return reduce(lambda a, c: a + self.score(c), rest, total)
 
 
-def hits(occurrences: DataFrame, tree: Node | Leaf, weights: Weights = Weights(), compute_df: bool = True) -> DataFrame:
+def hits(index: DataFrame | Corpus, tree: Node | Leaf, weights: Weights = Weights(), compute_df: bool = True) -> DataFrame:
     """doc, score, len, strict and proximate of every document that satisfies the tree.
 
-    occurrences: doc, pos, term, index_type, score, feature, len.
+    index: occurrences (doc, pos, term, index_type, score, feature, len), or the documents themselves.
     """
-    spark = occurrences.sparkSession
+    spark = index.sparkSession
     table = leaf_table(spark, tree)
     terms = sorted({x.term for x in number(tree)})
+    lengths = None
+    occurrences = index
+    if isinstance(index, Corpus):
+        occurrences, lengths = index.occurrences(terms), index.lengths()
     o = occurrences.where(F.col("term").isin(terms)).join(F.broadcast(table), ["term", "index_type"])
     o = o.where(mask_match(F.col("feature"), F.col("mask")))
     conditioned = F.col("mask") > 0
@@ -142,7 +149,7 @@ def hits(occurrences: DataFrame, tree: Node | Leaf, weights: Weights = Weights()
     same_type = F.col("feature").bitwiseAND(F.lit(TYPE_BITS)) == F.col("mask").bitwiseAND(F.lit(TYPE_BITS))
     weight = F.col("score") * occurrence_weight(F.col("basic"), F.col("dependency"), case, same_type, conditioned, weights)
     docs = o.groupBy("doc").agg(F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct("leaf", "pos", weight.alias("weight"), case.alias("case")))).alias("occ"))
-    docs = docs.crossJoin(F.broadcast(statistics(occurrences, tree, compute_df)))
+    docs = docs.crossJoin(F.broadcast(statistics(occurrences, tree, compute_df, lengths)))
     e = Evaluator(weights)
     children = [c for c in (tree.children if isinstance(tree, Node) else [tree]) if not optional(c)]
     near = e.near("PROX", children, 100) if len(children) > 1 else F.lit(True)

@@ -97,7 +97,7 @@ def standoff_embed(spark, sf_dir):
 
 @register("language_query", top_sql(f"SELECT a.doc, a.s + b.s AS score FROM {leaf_sql('worthless')} a JOIN {leaf_sql('trash')} b USING (doc)"))
 def language_query(spark, sf_dir):
-    o = ix.word_occurrences(docs(spark, sf_dir))
+    o = ix.Corpus(docs(spark, sf_dir))
     tree, _ = pr.parse("worthless trash~AND", o=pr.Options(near=0, dependencies=False))
     return top(hits(o, tree))
 

@@ -32,8 +32,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def occ(spark, sf_dir: str) -> DataFrame:
-    return ix.word_occurrences(docs(spark, sf_dir))
+def occ(spark, sf_dir: str, *terms: str) -> DataFrame:
+    return ix.word_occurrences(docs(spark, sf_dir), list(terms) or None)
 
 
 # positions
@@ -41,12 +41,12 @@ def occ(spark, sf_dir: str) -> DataFrame:
 
 @register("prox_minimum_forward_distance", f"WITH {OCC} SELECT doc, min(d) AS distance FROM (SELECT a.doc, min(CASE WHEN b.pos >= a.pos THEN b.pos - a.pos END) AS d FROM o a JOIN o b USING (doc) WHERE a.term = 'for' AND b.term = 'with' GROUP BY a.doc) GROUP BY doc")
 def prox_forward(spark, sf_dir):
-    return px.minimum_forward_distance(occ(spark, sf_dir), "for", "with")
+    return px.minimum_forward_distance(occ(spark, sf_dir, "for", "with"), "for", "with")
 
 
 @register("prox_adjacent_distance", f"WITH {OCC}, m AS (SELECT doc, pos, term, lag(pos) OVER w AS lp, lag(term) OVER w AS lt FROM o WHERE term IN ('for', 'with') WINDOW w AS (PARTITION BY doc ORDER BY pos)) SELECT doc, min(pos - lp) AS distance FROM m WHERE lt <> term GROUP BY doc")
 def prox_adjacent(spark, sf_dir):
-    return px.adjacent_distance(occ(spark, sf_dir), "for", "with")
+    return px.adjacent_distance(occ(spark, sf_dir, "for", "with"), "for", "with")
 
 
 @register(
@@ -59,23 +59,23 @@ def prox_adjacent(spark, sf_dir):
     SELECT doc, begin, e AS end_pos FROM r WHERE n = 1""",
 )
 def prox_region(spark, sf_dir):
-    return px.tightest_region(occ(spark, sf_dir), ["for", "with", "as"], 30)
+    return px.tightest_region(occ(spark, sf_dir, "for", "with", "as"), ["for", "with", "as"], 30)
 
 
 @register("prox_chained_near", f"WITH {OCC} SELECT DISTINCT a.doc FROM o a JOIN o b USING (doc) JOIN o c USING (doc) WHERE a.term = 'for' AND b.term = 'with' AND c.term = 'as' AND b.pos > a.pos AND c.pos > b.pos AND c.pos - a.pos <= 25")
 def prox_chained(spark, sf_dir):
-    return px.chained_near(occ(spark, sf_dir), ["for", "with", "as"], 25)
+    return px.chained_near(occ(spark, sf_dir, "for", "with", "as"), ["for", "with", "as"], 25)
 
 
 @register("phrase_positions", f"WITH {OCC} SELECT a.doc, a.pos AS begin FROM o a JOIN o b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN o c ON a.doc = c.doc AND c.pos = a.pos + 2 WHERE a.term = 'in' AND b.term = 'the' AND c.term = 'of'")
 def phrase_positions(spark, sf_dir):
-    return px.phrase_by_key(occ(spark, sf_dir), ["in", "the", "of"])
+    return px.phrase_by_key(occ(spark, sf_dir, "in", "the", "of"), ["in", "the", "of"])
 
 
 @register("coordinate_terms_near", f"WITH {OCC} SELECT a.doc, a.term AS term_a, a.pos AS pos_a, b.term AS term_b, b.pos AS pos_b FROM o a JOIN o b USING (doc) WHERE a.term = 'idiot' AND b.term IN ('moron', 'clown') AND abs(a.pos - b.pos) <= 100")
 def coordinate_near(spark, sf_dir):
     partners = spark.createDataFrame([("idiot", "moron"), ("idiot", "clown")], "term string, partner string")
-    return px.band_pairs(occ(spark, sf_dir), F.broadcast(partners), 100)
+    return px.band_pairs(occ(spark, sf_dir, "idiot", "moron", "clown"), F.broadcast(partners), 100)
 
 
 # sentences and snippets

@@ -20,7 +20,7 @@ st AS (SELECT count(*) AS n, avg(len(ws)) AS av FROM d WHERE len(ws) > 0)
 
 
 def docs(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ix.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def register(name: str, sql: str | None = None):
@@ -54,7 +54,7 @@ A_, B_, C_ = (leaf_sql(x) for x in (A, B, C))
 
 
 def boolean(name: str, tree, body: str, k: int = 50, start: int = 0):
-    register(name, top_sql(body, k, start))(lambda spark, sf_dir: top(hits(ix.word_occurrences(docs(spark, sf_dir)), tree()), k, start))
+    register(name, top_sql(body, k, start))(lambda spark, sf_dir: top(hits(ix.Corpus(docs(spark, sf_dir)), tree()), k, start))
 
 
 R, D = "erth", "onth"
@@ -98,7 +98,7 @@ def search_or_max(spark, sf_dir: str) -> DataFrame:
 @register("search_tombstones", top_sql(f"SELECT doc, s AS score FROM {A_} WHERE doc NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def search_tombstones(spark, sf_dir: str) -> DataFrame:
     gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("doc"))
-    return top(hits(ix.word_occurrences(docs(spark, sf_dir)), Leaf(A)).join(gone, "doc", "left_anti"))
+    return top(hits(ix.Corpus(docs(spark, sf_dir)), Leaf(A)).join(gone, "doc", "left_anti"))
 
 
 @register("search_pagerank", f"WITH {OCC} SELECT doc, round(0.8 * s + 0.2 * 5 * coalesce(quality, 0), 6) AS final FROM {A_} LEFT JOIN (SELECT doc_id AS doc, quality FROM labels) USING (doc) ORDER BY final DESC, doc DESC LIMIT 50")
@@ -106,24 +106,24 @@ def search_pagerank(spark, sf_dir: str) -> DataFrame:
     from ..functions.scoring import Weights
 
     rank = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("rank"))
-    return ranked(hits(ix.word_occurrences(docs(spark, sf_dir)), Leaf(A)), 50, 0, rank, Weights(text_share=0.8)).select("doc", "final")
+    return ranked(hits(ix.Corpus(docs(spark, sf_dir)), Leaf(A)), 50, 0, rank, Weights(text_share=0.8)).select("doc", "final")
 
 
 @register("search_except", f"WITH {OCC} SELECT DISTINCT doc FROM o WHERE term = '{A}' EXCEPT SELECT doc FROM o WHERE term = '{B}'")
 def search_except(spark, sf_dir: str) -> DataFrame:
-    o = ix.word_occurrences(docs(spark, sf_dir))
+    o = ix.word_occurrences(docs(spark, sf_dir), [A, B])
     return o.where(F.col("term") == A).select("doc").distinct().join(o.where(F.col("term") == B).select("doc"), "doc", "left_anti")
 
 
 @register("search_intersect", f"WITH {OCC} SELECT doc FROM o WHERE term = '{A}' INTERSECT SELECT doc FROM o WHERE term = '{B}'")
 def search_intersect(spark, sf_dir: str) -> DataFrame:
-    o = ix.word_occurrences(docs(spark, sf_dir)).where(F.col("term").isin(A, B))
+    o = ix.word_occurrences(docs(spark, sf_dir), [A, B])
     return o.groupBy("doc").agg(F.countDistinct("term").alias("n")).where("n = 2").select("doc")
 
 
 @register("hit_count", f"WITH {OCC} SELECT count(DISTINCT doc) AS hits FROM o WHERE term IN ('{A}', '{B}')")
 def hit_count(spark, sf_dir: str) -> DataFrame:
-    return hits(ix.word_occurrences(docs(spark, sf_dir)), Node("OR", [Leaf(A), Leaf(B)])).agg(F.count("*").alias("hits"))
+    return hits(ix.Corpus(docs(spark, sf_dir)), Node("OR", [Leaf(A), Leaf(B)])).agg(F.count("*").alias("hits"))
 
 
 @register("index_postings", f"WITH {OCC} SELECT term, doc, count(*)::DOUBLE AS total, any_value(feature) AS feature, list_sort(list(pos)) AS positions FROM o GROUP BY term, doc")
