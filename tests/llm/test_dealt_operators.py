@@ -100,6 +100,22 @@ def test_nearest_neighbours_are_exact(docs):
         assert got[i] == (members[at - 1] if at else None, members[at + 1] if at + 1 < len(members) else None, shared[0][0])
 
 
+def test_closest_documents_against_all_pairs(docs):
+    got = {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in op1.knn_graph(docs).collect()}
+    own = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, w in enumerate(map(split, TEXTS)) if w}
+    df = Counter(x for v in own.values() for x in v)
+    weight = {x: max(1, round(1024 * np.log((len(own) + 1) / n))) for x, n in df.items()}
+    assert got.keys() == own.keys()
+    for i in own:
+        shared = sorted((-sum(weight[x] for x in own[i] & own[j]), j) for j in own if j != i and own[i] & own[j])
+        assert got[i] == [(j, -w) for w, j in shared[: op1.NEAREST]]
+    x = TEXTS.index("x y")
+    assert [j for j, _ in got[x]] == [x + 1]
+    sums = np.random.default_rng(1).integers(0, 9, (40, 500)).astype(float)
+    row, col = op1.best_of(sums, 7)
+    assert [(r, c) for r, c in zip(row, col)] == [(r, c) for r in range(40) for c in sorted(range(500), key=lambda c: (-sums[r, c], c))[:7]]
+
+
 def test_windows_hold_every_word_once_and_are_full(docs):
     pieces = op1.pack(docs, window=200).toPandas()
     for i, t in enumerate(TEXTS):
