@@ -4,7 +4,8 @@ A gear hash rolls over the UTF-8 bytes of each text (a window of 16 bytes, compu
 doubling).  A chunk ends where the hash has five leading zero bits, at 16 bytes or more, and at 256 bytes at
 the latest, so the chunks are 48 bytes long on average and an insertion moves the cuts next to it alone.
 Chunks are known by a 96-bit digest; those that several documents hold are duplicates, all but the first
-(least doc_id, then offset).  Neighbouring duplicates join into spans, reported from min_span bytes on.
+(least doc_id, then offset).  Neighbouring duplicates join into spans; all are reported, or those of
+min_span bytes or more if the caller sets that.
 
 Defined results: rows without doc_id or text have no chunks; an empty text has none; a text shorter than the
 least chunk is one chunk.  Rows that repeat a doc_id are one document, so a repeated row alone is no duplicate.
@@ -190,7 +191,7 @@ def spans(min_span: int):
     return run
 
 
-def duplicate_spans(docs: DataFrame, min_span: int = 96) -> DataFrame:
+def duplicate_spans(docs: DataFrame, min_span: int = 0) -> DataFrame:
     """doc_id, byte_start, byte_end, n_chunks, first_doc_id, n_docs and is_first of every repeated span.
 
     is_first marks the copy that deduplication keeps.

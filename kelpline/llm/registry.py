@@ -52,7 +52,7 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_spans(table(spark, sf_dir, "documents"), min_span=96)
+    return duplicate_spans(table(spark, sf_dir, "documents"))
 
 
 def op10_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

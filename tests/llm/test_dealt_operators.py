@@ -347,6 +347,13 @@ def test_chunks_against_counting(docs):
     assert got == want and want
 
 
+def test_registered_query_reports_short_repeats(spark, tmp_path):
+    texts = ["By be in tothedouou and, oninly.", "alone", "By be in tothedouou and, oninly.", "x", "x"]
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["op8_gear_chunk_dedup"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["byte_start"], r["byte_end"], r["is_first"]) for r in found} == {(0, 0, 32, True), (2, 0, 32, False), (3, 0, 1, True), (4, 0, 1, False)}
+
+
 # leaks
 
 
