@@ -7,7 +7,8 @@ shorter item) is searched backwards through the wavelet ranks, its occurrences l
 positions, and overlapping or touching occurrences merged into removal spans.
 
 Phrases go to the executors in slices of at most max_phrases, whatever the benchmark's size; several slices
-are searched one after the other and their spans merged.
+are searched one after the other in the same texts, each row carries what they found, and the occurrences of
+all slices are merged together, so the result is that of one slice.
 
 Defined results: items and documents without text, or without words, match nothing; spans of rows that
 repeat are reported for each row; rows without a doc_id give no spans, and are cleaned all the same by
@@ -23,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, rows, with_id
 from .fm_index import FMIndex
-from .textkit import WORD_PATTERN, words
+from .textkit import WORD_PATTERN, group_starts, words
 
 SHARD = 1_500_000
 MAX_PHRASES = 2_000_000
@@ -138,26 +139,57 @@ def merge(row: np.ndarray, first: np.ndarray, length: np.ndarray, item: np.ndarr
     return out
 
 
-def leaks(column: pa.Array, phrases: Phrases) -> list[tuple[int, int, int, int]]:
-    """Spans of a batch of texts, shard by shard."""
-    out, sym, row, word, held = [], [], [], [], 0
-
-    def flush() -> None:
-        if held:
-            out.extend(merge(*search_shard(np.concatenate(sym), np.concatenate(row), np.concatenate(word), phrases)))
-
+def occurrences(column: pa.Array, phrases: Phrases) -> Iterator[tuple[np.ndarray, ...]]:
+    """Occurrences in a batch of texts, shard by shard."""
+    sym, row, word, held = [], [], [], 0
     if not len(phrases.names):
-        return out
+        return
     for w in words(column):
         sym.append(phrases.symbols(w.hash()))
         row.append(w.row + w.lo)
         word.append(np.arange(len(w.row)) - w.first[w.row])
         held += len(w.row)
         if held >= SHARD:
-            flush()
+            yield search_shard(np.concatenate(sym), np.concatenate(row), np.concatenate(word), phrases)
             sym, row, word, held = [], [], [], 0
-    flush()
-    return out
+    if held:
+        yield search_shard(np.concatenate(sym), np.concatenate(row), np.concatenate(word), phrases)
+
+
+def leaks(column: pa.Array, phrases: Phrases) -> list[tuple[int, int, int, int]]:
+    """Spans of a batch of texts."""
+    return [span for found in occurrences(column, phrases) for span in merge(*found)]
+
+
+def with_occurrences(df: DataFrame, slices: list[Phrases], where: int) -> DataFrame:
+    """df and, as its last column, the packed occurrences (first word, length, item) of all slices in column where."""
+    name = "_leaks"
+    while name in df.columns:
+        name += "_"
+    out = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
+    df = df.withColumn(name, F.lit(b""))
+    for number, phrases in enumerate(slices):
+
+        def run(it: Iterator[pa.RecordBatch], phrases=phrases, number=number) -> Iterator[pa.RecordBatch]:
+            for batch in batches(it):
+                held = batch.column(batch.num_columns - 1).to_pylist()
+                for row, first, length, item in occurrences(batch.column(where), phrases):
+                    order = np.argsort(row, kind="stable")
+                    packed = np.stack([first, length, item + (number << 32)], 1).astype(np.int64)[order]
+                    starts = group_starts(row[order])
+                    for r, lo, hi in zip(row[order][starts[:-1]].tolist() if len(row) else [], starts, starts[1:]):
+                        held[r] += packed[lo:hi].tobytes()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, batch.schema.types[-1])], schema=batch.schema)
+
+        df = df.mapInArrow(run, out)
+    return df
+
+
+def carried(batch: pa.RecordBatch) -> list[tuple[int, int, int, int]]:
+    """Spans of a batch of with_occurrences."""
+    held = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column(batch.num_columns - 1).to_pylist()]
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    return merge(row, *np.concatenate(held).T)
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("word_start", pa.int64()), ("word_end", pa.int64()), ("n_items", pa.int64())])
@@ -167,28 +199,21 @@ SPANS_SQL = "doc_id long, word_start long, word_end long, n_items long"
 def leak_spans(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases: int = MAX_PHRASES) -> DataFrame:
     """doc_id, word_start, word_end and n_items (benchmark items it has phrases of) of every removal span."""
     texts = with_id(docs, F.col("text").cast("string").alias("text"))
-    parts = []
-    for phrases in phrase_slices(benchmark, n, max_phrases):
+    slices = list(phrase_slices(benchmark, n, max_phrases))
+    if not slices:
+        return docs.sparkSession.createDataFrame([], SPANS_SQL)
+    if len(slices) > 1:
+        texts, spans = with_occurrences(texts, slices, 1), carried
+    else:
+        spans = lambda batch: leaks(batch.column(1), slices[0])
 
-        def run(it: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches(it):
-                if found := leaks(batch.column(1), phrases):
-                    r, a, b, k = zip(*found)
-                    yield rows(SPANS, doc_id=batch.column(0).take(pa.array(r)), word_start=a, word_end=b, n_items=k)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            if found := spans(batch):
+                r, a, b, k = zip(*found)
+                yield rows(SPANS, doc_id=batch.column(0).take(pa.array(r)), word_start=a, word_end=b, n_items=k)
 
-        parts.append(texts.mapInArrow(run, SPANS_SQL))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], SPANS_SQL)
-    if len(parts) == 1:
-        return parts[0]
-    # spans of several slices: an island begins where no earlier span reaches; equal rows of a document merge
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.union(p)
-    by = W.partitionBy("doc_id").orderBy("word_start", "word_end")
-    reach = F.max("word_end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    isles = spans.withColumn("isle", F.sum(F.when(reach >= F.col("word_start"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return isles.groupBy("doc_id", "isle").agg(F.min("word_start").alias("word_start"), F.max("word_end").alias("word_end"), F.sum("n_items").alias("n_items")).drop("isle")
+    return texts.mapInArrow(run, SPANS_SQL)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -205,15 +230,23 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases:
     """docs with the spans cut out of text, and n_chars, if there is one, counted again in rows that changed."""
     where = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    for phrases in phrase_slices(benchmark, n, max_phrases):
-
-        def run(it: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches(it):
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for r, a, b, _ in leaks(batch.column(where), phrases):
-                    spans.setdefault(r, []).append((a, b))
+    slices = list(phrase_slices(benchmark, n, max_phrases))
+    if not slices:
+        return docs
+    schema, width, several = docs.schema, len(docs.columns), len(slices) > 1
+    if several:
+        docs, found = with_occurrences(docs, slices, where), carried
+    else:
+        found = lambda batch: leaks(batch.column(where), slices[0])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for r, a, b, _ in found(batch):
+                spans.setdefault(r, []).append((a, b))
+            if spans or several:
+                columns, fields = list(batch.columns[:width]), list(batch.schema)[:width]
                 if spans:
-                    columns = list(batch.columns)
                     text = columns[where].to_pylist()
                     for r, s in spans.items():
                         text[r] = cut(text[r], s)
@@ -223,8 +256,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases:
                         for r in spans:
                             chars[r] = len(text[r])
                         columns[count] = pa.array(chars, columns[count].type)
-                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                yield batch
+                batch = pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, schema)

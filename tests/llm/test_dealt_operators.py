@@ -369,6 +369,17 @@ def test_leaks_against_scanning(docs, benchmark):
     assert clean[0]["text"] == TEXTS[0]
 
 
+def test_slices_of_the_benchmark_change_nothing(spark):
+    w = ["leak%d" % i for i in range(30)]
+    items = [(0, " ".join(w[:10])), (1, " ".join(w[6:18])), (2, " ".join(w[16:28])), (3, " ".join(w[:8] + w[20:28]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    texts = [(1, "a " + " ".join(w[:18]) + " b"), (1, "c " + " ".join(w) + " d"), (2, " ".join(w[:10] + ["and"] + w[:10])), (None, " ".join(w)), (3, None)]
+    docs = frame(spark, texts)
+    for run in (op7.leak_spans, op7.remove_leaks):
+        one, more = (sorted(map(str, run(docs, benchmark, 8, m).collect())) for m in (1000, 13))
+        assert one == more and one
+
+
 # toxicity
 
 
