@@ -92,32 +92,62 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def spanning(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task as stars: every node of a component to its least, so at most one edge a node."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = map(np.concatenate, zip(*parts))
+        nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = local_components(len(nodes), index[: len(a)], index[len(a) :])
+        other = np.flatnonzero(label != np.arange(len(nodes)))
+        return nodes[other], nodes[label[other]]
+
+    for batch in batches(it):
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) > 2_000_000 + 2 * len(a):
+            a, b = stars([(a, b), *held])
+            held = []
+    if held:
+        a, b = stars([(a, b), *held])
+    if len(a):
+        yield rows(EDGES, a=a, b=b)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for edges (a, b): alternating large-star and small-star rounds; component is the least node.
+    """(node, component) for edges (a, b) of BIGINT without nulls: large-star and small-star rounds; component is the least node.
 
-    Every round is checkpointed, and the number of rounds follows the logarithm of the longest path.
+    Tasks first put their own edges in stars.  Every round is checkpointed, and the number of rounds follows the
+    logarithm of the longest path.  The least neighbour of a node is an aggregate that joins back, so that no
+    task holds the neighbourhood of a hub.
     """
-    from pyspark.sql import Window as W
+
+    def lowest(e: DataFrame) -> DataFrame:
+        """(u, v) with the least v of each u."""
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
 
     def large(e: DataFrame) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        low = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        return both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        return lowest(both).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
+        low = lowest(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
         pairs = low.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b")
         return pairs.where("a <> b").distinct()
 
-    edges = checkpointed(edges.where("a <> b").select("a", "b").distinct())
-    state = None
-    for _ in range(max_rounds):
+    edges = checkpointed(edges.where("a <> b").select("a", "b").mapInArrow(spanning, "a long, b long").distinct())
+    state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
+    for _ in range(max_rounds if state[0] else 0):
         edges = checkpointed(small(large(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if tuple(now) == state:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first())
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     else:
-        raise RuntimeError("the components did not settle")
+        if state[0]:
+            raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

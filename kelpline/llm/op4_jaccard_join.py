@@ -5,18 +5,22 @@
 2. What is left of a set returns to its document, in one global order: rare grams first.  With s grams,
    u of them unique, a partner at threshold t shares at least ceil(t*s) grams, so one of the first
    s - ceil(t*s) + 1 grams.  Documents with fewer shared grams than ceil(t*s) leave at once.
-3. Documents that share a gram of these prefixes, at lengths within a factor t, are linked; the connected
-   components of the links hold every pair of the join.
-4. In each component the sets form a path-compressed trie.  Walking down it, the overlaps of the path with
-   all other sets are kept once per shared prefix; a subtree is left as soon as overlap so far plus the
-   remaining length cannot reach the threshold for any partner.
-
-Defined results: rows without doc_id or text, or without words, pair with nothing.  A text of fewer than n
-words is one gram, all its words.  Rows that repeat a doc_id are one document with
-all their grams, as large as the largest of them.
-Sets that are equal are listed as pairs with the least doc_id among them, and only this one stands for them
-in other pairs; the join is complete in this form and does not grow with the square of exact copies.
-Grams are compared by hashes of 40 bits within a bucket.
+3. Equal sets are one class of copies, and the least doc_id stands for it; a task sends the prefix of such a set once.
+   Sets that share a gram of these prefixes, at lengths within a factor t, are linked; the connected components of
+   the links hold every pair of the join.
+4. The sets of a component, in blocks of at most some BLOCK sets whose pairs are tasks of their own, form a
+   path-compressed trie.  Walking down it, the overlaps of the path with the sets that can still be partners are
+   kept once per shared prefix; a subtree is left as soon as overlap so far plus the remaining length cannot
+   reach the threshold for any partner.
+5. Documents get the number of sets that theirs is linked to, and the least doc_id that links and copies lead to.
+
+Every link between different sets is found and counted; copies are counted and not expanded into pairs.
+
+Defined results: rows without doc_id or text, or without words, pair with nothing, nor does any row of an empty
+table; columns other than doc_id and text are not read.  A text of fewer than n words is one gram, all its words.
+Long texts count with all their grams.  Rows that repeat a doc_id are one document with
+all their grams, as large as the largest of them.  Ties play no part: ids are least ids, links are counted.
+Grams are compared by hashes of 40 bits within a bucket, and sets by 64 bits and their size.
 """
 
 from __future__ import annotations
@@ -30,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, checkpointed, connected_components, id_hash, local_components, partitions, rows, split_by, to_buckets, with_id
-from .textkit import group_starts, ngrams, words
+from .textkit import group_starts, mix, ngrams, words
 
 U64 = np.uint64
 GRAMS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 GRAMS_SQL = "bucket int, kind int, ids binary, counts binary, low binary, high binary"
-SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("keys", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("keys", pa.binary())])
+SETS_SQL = "doc_id long, size int, print long, keys binary"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Grams held before a task sends them off.
 CHUNK = 3_000_000
+#: Sets of a component that meet at once.
+BLOCK = 2000
 
 
 def need(size: int | np.ndarray, t: float):
@@ -60,8 +67,6 @@ def short_keys(w, n: int) -> tuple[np.ndarray, np.ndarray]:
         for x in part.tolist():
             v = (v * 0xD6E8FEB86659FD93 + x + 1) & 0xFFFFFFFFFFFFFFFF
         out[i] = v
-    from .textkit import mix
-
     return mix(out), at
 
 
@@ -116,8 +121,6 @@ def spread(n: int, parts: int):
 
 def _widen(gram: np.ndarray) -> np.ndarray:
     """64 bits again from the 48 that were kept, so that both halves are well mixed."""
-    from .textkit import mix
-
     return mix(gram)
 
 
@@ -217,18 +220,28 @@ def gather(t: float):
         single = np.diff(at)[here] == 1
         size = np.where(single, total[here], np.maximum(largest[here], shared))
         live = np.flatnonzero(shared >= need(size, t))
+        # sets without unshared grams may be equal to others: they have a print of their grams, the rest of their id
+        sums = np.append(U64(0), np.cumsum(mix(key)))
+        prints = np.where(shared == size, mix(sums[starts[1:]] - sums[starts[:-1]] + size.astype(U64)), id_hash(own)).view(np.int64)
         for lo in range(0, len(live), 4096):
             part = live[lo : lo + 4096]
-            yield rows(SETS, doc_id=own[part], size=size[part], keys=[key[starts[i] : starts[i + 1]].tobytes() for i in part])
+            yield rows(SETS, doc_id=own[part], size=size[part], print=prints[part], keys=[key[starts[i] : starts[i + 1]].tobytes() for i in part])
 
     return run
 
 
 def prefix_postings(t: float, parts: int):
-    """The prefix grams of the sets, packed by bucket."""
+    """The prefix grams of the sets, packed by bucket; of equal sets of a task that of the first, the least doc_id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for batch in batches(it):
+            names, first = np.unique(batch.column("print").to_numpy(), return_index=True)
+            first = np.sort(first[~np.isin(names, seen, assume_unique=True)])
+            if not len(first):
+                continue
+            seen = np.union1d(seen, names)
+            batch = batch.take(pa.array(first))
             ids, size = batch.column("doc_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
             keys = [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
             take = size - need(size, t) + 1 - (size - np.array([len(k) for k in keys]))
@@ -305,141 +318,145 @@ class Trie:
         return root
 
 
-def join_component(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of distinct sets at Jaccard t or more, and their overlaps; every set has its index."""
+def join_component(sizes: np.ndarray, sets: list[np.ndarray], t: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of distinct sets at Jaccard t or more, and their overlaps; with sides, of two sides alone.
+
+    sets must be in lexicographic order, each ascending and distinct; sizes: with the grams that nobody shares.
+    """
     m = len(sets)
-    lens = np.array([len(s) for s in sets])
-    flat, who = np.concatenate(sets), np.repeat(np.arange(m), lens)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
-    flat, who = flat[order], who[order].astype(np.int32)
+    flat, who = flat[order], who[order]
     begin = group_starts(flat)
     names = flat[begin[:-1]]
-    trie = Trie.build(sets)
     full = np.asarray(sizes, np.int64)
+    trie = Trie.build(sets)
+    below: dict[int, tuple[int, int, int]] = {}  # of a subtree: most keys left, least size and greatest size of its sets
+    todo = [(trie, False)]
+    while todo:
+        x, ready = todo.pop()
+        if not ready:
+            todo.append((x, True))
+            todo += [(c, False) for c in x.children]
+        else:
+            under, ends = [below[id(c)] for c in x.children], full[x.ends].tolist()
+            below[id(x)] = (max([0] + [len(c.keys) + u[0] for c, u in zip(x.children, under)]), min(ends + [u[1] for u in under]), max(ends + [u[2] for u in under]))
     left, right, over = [], [], []
-    stack = [(trie, np.zeros(m, np.int32), 0)]
-    below: dict[int, tuple[int, int]] = {}
-
-    def reach(node: Trie) -> tuple[int, int]:
-        """Most keys left below a node, and the least size of a set there."""
-        todo, out = [(node, False)], {}
-        while todo:
-            x, ready = todo.pop()
-            if id(x) in below:
-                continue
-            if not ready:
-                todo.append((x, True))
-                todo += [(c, False) for c in x.children]
-            else:
-                longest = max([0] + [len(c.keys) + below[id(c)][0] for c in x.children])
-                least = min([int(full[e]) for e in x.ends] + [below[id(c)][1] for c in x.children])
-                below[id(x)] = (longest, least)
-        return below[id(node)]
-
-    reach(trie)
     c = t / (1 + t)
+    # partners that are still possible, and their overlaps with the path
+    stack = [(trie, np.arange(m), np.zeros(m, np.int64))]
     while stack:
-        node, overlap, depth = stack.pop()
+        node, alive, overlap = stack.pop()
         for e in node.ends:
-            wanted = np.ceil(c * (full + full[e]) - 1e-9)
-            hit = np.flatnonzero((overlap >= wanted) & (np.arange(m) > e))
-            left.append(np.full(len(hit), e)), right.append(hit), over.append(overlap[hit])
+            hit = (alive > e) & (overlap >= np.ceil(c * (full[alive] + full[e]) - 1e-9))
+            if side is not None:
+                hit &= side[alive] != side[e]
+            left.append(np.full(int(hit.sum()), e)), right.append(alive[hit]), over.append(overlap[hit])
         for child in node.children:
             at = np.searchsorted(names, child.keys)
-            spans = [who[begin[x] : begin[x + 1]] for x in at]
-            total = overlap + np.bincount(np.concatenate(spans), minlength=m).astype(np.int32)
-            longest, least = below[id(child)]
-            # partners can still gain at most what the subtree has left
-            bound = total + longest
-            able = bound >= np.ceil(c * (full + least) - 1e-9)
-            lo, hi = child.span
-            if able.sum() == (hi - lo == 1 and able[lo]):
-                continue
-            stack.append((child, total, depth + len(child.keys)))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64), np.concatenate(over).astype(np.int64)
+            total = overlap + np.bincount(np.concatenate([who[begin[x] : begin[x + 1]] for x in at]), minlength=m)[alive]
+            longest, least, most = below[id(child)]
+            able = (total + longest >= np.ceil(c * (full[alive] + least) - 1e-9)) & (full[alive] >= t * least - 1e-9) & (full[alive] * t <= most + 1e-9)
+            # a pair is found at its first set in order, so partners come after some set of the subtree
+            able &= alive > child.span[0]
+            if able.any():
+                stack.append((child, alive[able], total[able]))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(over or none)
 
 
-PAIRS = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
-GROUPS = pa.schema([("doc_id", pa.int64()), ("group_id", pa.int64())])
-
-
-def walk(t: float, groups: bool):
-    """Components, each one after the other, to pairs, or to the groups that the pairs link."""
-
-    def one(ids: list[int], sizes: list[int], keys: list[bytes]) -> pa.RecordBatch | None:
-        by: dict[tuple[bytes, int], list[int]] = {}
-        for i, s, k in zip(ids, sizes, keys):
-            # equal shared grams with unshared ones left over are not equal sets: such a set stands alone
-            by.setdefault((k, -1 if len(k) == 8 * s else i), []).append(i)
-            if len(k) != 8 * s:
-                by[(k, i)] = [i]
-        size = dict(zip(ids, sizes))
-        order = sorted(by, key=lambda x: np.frombuffer(x[0], np.uint64).byteswap().tobytes())
-        sets = [np.frombuffer(k, np.uint64) for k, _ in order]
-        heads = np.array([min(by[x]) for x in order], np.int64)
-        full = np.array([size[int(h)] for h in heads], np.int64)
-        i, j, over = join_component(heads, full, sets, t) if len(sets) > 1 else (np.zeros(0, np.int64),) * 3
-        copies = [(int(h), x, int(s)) for h, k, s in zip(heads, order, full) for x in sorted(set(by[k])) if x != h]
-        if groups:
-            nodes, index = np.unique(np.array(sorted(set(ids)), np.int64)), None
-            a = np.concatenate([heads[i], np.array([c[0] for c in copies], np.int64)])
-            b = np.concatenate([heads[j], np.array([c[1] for c in copies], np.int64)])
-            label = local_components(len(nodes), np.searchsorted(nodes, a), np.searchsorted(nodes, b))
-            size_of = np.bincount(label, minlength=len(nodes))
-            keep = size_of[label] > 1
-            return rows(GROUPS, doc_id=nodes[keep], group_id=nodes[label[keep]]) if keep.any() else None
-        a, b = heads[i], heads[j]
-        jac = over / np.maximum(1, full[i] + full[j] - over)
-        a2, b2 = np.array([c[0] for c in copies], np.int64), np.array([c[1] for c in copies], np.int64)
-        s2 = np.array([c[2] for c in copies], np.int64)
-        a, b, over, jac = np.concatenate([a, a2]), np.concatenate([b, b2]), np.concatenate([over, s2]), np.concatenate([jac, np.ones(len(s2))])
-        return rows(PAIRS, doc_id_a=np.minimum(a, b), doc_id_b=np.maximum(a, b), overlap=over, jaccard=jac) if len(a) else None
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_links", pa.int64())])
+FOUND_SQL = "a long, b long, n_links long"
+
+
+def walk(t: float, found):
+    """Units - components, or pairs of their blocks -, each one after the other, to what found makes of their pairs."""
+
+    def one(across: bool, ids: list[int], sides: list[int], sizes: list[int], keys: list[bytes]) -> pa.RecordBatch | None:
+        sets = [np.frombuffer(k, np.uint64) for k in keys]
+        # equal shared grams with unshared ones left over are not equal sets
+        order = sorted(range(len(ids)), key=lambda x: (sets[x].byteswap().tobytes(), ids[x]))
+        heads, full = np.array([ids[x] for x in order], np.int64), np.array([sizes[x] for x in order], np.int64)
+        i, j, over = join_component(full, [sets[x] for x in order], t, np.array([sides[x] for x in order]) if across else None)
+        return found(heads, full, i, j, over) if len(i) else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sizes, keys = None, [], [], []
+        now, got = None, []
         for batch in batches(it):
-            for c, i, s, k in zip(*(batch.column(x).to_pylist() for x in ("component", "doc_id", "size", "keys"))):
-                if c != now:
-                    if len(ids) > 1 and (out := one(ids, sizes, keys)):
+            for c, lo, hi, *rest in zip(*(batch.column(x).to_pylist() for x in ("component", "lo", "hi", "doc_id", "block", "size", "keys"))):
+                if (c, lo, hi) != now:
+                    if len(got) > 1 and (out := one(now[1] != now[2], *zip(*got))):
                         yield out
-                    now, ids, sizes, keys = c, [], [], []
-                ids.append(i), sizes.append(s), keys.append(k)
-        if len(ids) > 1 and (out := one(ids, sizes, keys)):
+                    now, got = (c, lo, hi), []
+                got.append(rest)
+        if len(got) > 1 and (out := one(now[1] != now[2], *zip(*got))):
             yield out
 
     return run
 
 
-def _components(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def links_of(heads: np.ndarray, full: np.ndarray, i: np.ndarray, j: np.ndarray, over: np.ndarray) -> pa.RecordBatch:
+    """(a, least set that the unit's links lead to, number of links)."""
+    order = np.argsort(heads)
+    rank = np.empty(len(heads), np.int64)
+    rank[order] = np.arange(len(heads))
+    label = local_components(len(heads), rank[i], rank[j])
+    n = np.bincount(np.concatenate([rank[i], rank[j]]), minlength=len(heads))
+    some = np.flatnonzero(n)
+    return rows(FOUND, a=heads[order][some], b=heads[order][label[some]], n_links=n[some])
+
+
+PAIRS = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64())])
+
+
+def pairs_of(heads: np.ndarray, full: np.ndarray, i: np.ndarray, j: np.ndarray, over: np.ndarray) -> pa.RecordBatch:
+    a, b = heads[i], heads[j]
+    return rows(PAIRS, doc_id_a=np.minimum(a, b), doc_id_b=np.maximum(a, b), overlap=over, jaccard=over / (full[i] + full[j] - over))
+
+
+def _units(docs: DataFrame, n: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sets; the classes of equal sets (print, set_id, n_docs); the units of the join."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("0 < threshold <= 1 and n >= 1")
     parts = min(65536, partitions(docs.sparkSession))
-    grams = to_buckets(with_id(docs, "text").mapInArrow(spread(n, parts), GRAMS_SQL), parts)
+    grams = to_buckets(with_id(docs, F.col("text").cast("string").alias("text")).mapInArrow(spread(n, parts), GRAMS_SQL), parts)
     back = to_buckets(grams.mapInArrow(count_documents(parts), GRAMS_SQL), parts)
-    sets = checkpointed(back.mapInArrow(gather(threshold), "doc_id long, size int, keys binary"))
+    sets = checkpointed(back.mapInArrow(gather(threshold), SETS_SQL))
+    copies = sets.groupBy("print", "size").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"))
     posted = to_buckets(sets.mapInArrow(prefix_postings(threshold, parts), "bucket int, ids binary, sizes binary, keys binary"), parts)
     labels = connected_components(posted.mapInArrow(link(threshold), "a long, b long"))
-    return (
-        sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id")
-        .repartition(parts, "component")
-        .sortWithinPartitions("component", "doc_id")
-        .select("component", "doc_id", "size", "keys")
-    )
+    # the least doc_id of a class is the least of its task as well, so it has a label if the class has one
+    heads = checkpointed(copies.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id").select("set_id", "component"))
+    blocks = heads.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
+    placed = heads.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks").cast("long")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    units = placed.select("set_id", "component", "block", meets).select("set_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    units = units.join(sets.select("doc_id", "size", "keys"), F.col("set_id") == F.col("doc_id")).repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id")
+    return sets, copies, units.select("component", "lo", "hi", "doc_id", "block", "size", "keys")
 
 
-def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """doc_id_a < doc_id_b, overlap and jaccard of all pairs at the threshold or above (see the module's text)."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("0 < threshold <= 1 and n >= 1")
-    return _components(docs, n, threshold).mapInArrow(walk(threshold, False), "doc_id_a long, doc_id_b long, overlap long, jaccard double")
+def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """doc_id_a < doc_id_b, overlap and jaccard of all pairs of different sets, each by its least doc_id."""
+    return _units(docs, n, threshold, block)[2].mapInArrow(walk(threshold, pairs_of), "doc_id_a long, doc_id_b long, overlap long, jaccard double")
+
 
+def jaccard_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, set_id, n_links and n_copies of every document that has a link or a copy.
 
-def jaccard_groups(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """doc_id and group_id, the group's least doc_id, of all documents that a chain of such pairs links."""
-    return _components(docs, n, threshold).mapInArrow(walk(threshold, True), "doc_id long, group_id long")
+    class_id is the least doc_id that links and copies lead to, set_id the least with an equal set; n_links counts
+    the different sets at the threshold or above, n_copies the other documents with an equal set.
+    """
+    sets, copies, units = _units(docs, n, threshold, block)
+    found = checkpointed(units.mapInArrow(walk(threshold, links_of), FOUND_SQL))
+    links = found.groupBy("a").agg(F.sum("n_links").alias("n_links"))
+    labels = connected_components(found.select("a", "b"))
+    classes = links.join(labels.select(F.col("node").alias("a"), "component"), "a").withColumnRenamed("a", "set_id")
+    known = copies.join(classes, "set_id", "left").where("n_docs > 1 OR n_links IS NOT NULL")
+    known = known.select(F.col("print").alias("p"), F.col("size").alias("s"), "set_id", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("n_docs") - 1).alias("n_copies"))
+    return sets.select("doc_id", "print", "size").join(known, (F.col("print") == F.col("p")) & (F.col("size") == F.col("s"))).select("doc_id", "class_id", "set_id", "n_links", "n_copies")
 
 
 def drop_near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """docs without the documents of each group but its least doc_id; rows without a doc_id stay."""
-    gone = jaccard_groups(docs, n, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
+    """docs without the documents of each class but its least doc_id; rows without a doc_id stay."""
+    gone = jaccard_classes(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

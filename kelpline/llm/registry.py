@@ -12,7 +12,7 @@ from .op1_packing import pack
 from .op10_token_binary import token_binary
 from .op2_brown_lm import brown_perplexity
 from .op3_secret_scan import secret_findings
-from .op4_jaccard_join import jaccard_pairs
+from .op4_jaccard_join import jaccard_classes
 from .op5_rp_forest import nearest_neighbours
 from .op6_suffix_dedup import repeated_spans
 from .op7_decontaminate import leak_spans
@@ -37,7 +37,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+    return jaccard_classes(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def op5_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

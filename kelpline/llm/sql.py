@@ -4,7 +4,7 @@
 WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 
 JACCARD_SQL = rf"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS gs
@@ -17,11 +17,16 @@ shared AS (SELECT * FROM grams SEMI JOIN rare USING (gram)),
 pairs AS (
   SELECT x.head AS a, y.head AS b, any_value(x.size) AS sa, any_value(y.size) AS sb, count(*) AS overlap
   FROM shared x JOIN shared y ON x.gram = y.gram AND x.head < y.head GROUP BY ALL
-)
-SELECT a AS doc_id_a, b AS doc_id_b, overlap, overlap / (sa + sb - overlap)::DOUBLE AS jaccard
-FROM pairs WHERE overlap / (sa + sb - overlap)::DOUBLE >= 0.5
-UNION ALL
-SELECT head, m, len(gs), 1.0 FROM (SELECT head, gs, unnest(members) AS m FROM heads) WHERE m <> head
+),
+links AS (
+  SELECT unnest([a, b]) AS head, unnest([b, a]) AS other FROM pairs WHERE overlap / (sa + sb - overlap)::DOUBLE >= 0.5
+),
+degree AS (SELECT head, count(*) AS n_links FROM links GROUP BY head),
+reach AS (SELECT head, head AS root FROM heads UNION SELECT other, root FROM reach JOIN links USING (head) WHERE root < other),
+class AS (SELECT head, min(root) AS class_id FROM reach GROUP BY head)
+SELECT m AS doc_id, class_id, head AS set_id, coalesce(n_links, 0) AS n_links, n_docs - 1 AS n_copies
+FROM (SELECT head, len(members) AS n_docs, unnest(members) AS m FROM heads) JOIN class USING (head) LEFT JOIN degree USING (head)
+WHERE n_docs > 1 OR n_links > 0
 """
 
 DECONTAMINATE_SQL = rf"""

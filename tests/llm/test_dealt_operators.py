@@ -21,6 +21,7 @@ from kelpline.llm import op8_chunk_dedup as op8
 from kelpline.llm import op9_toxicity as op9
 from kelpline.llm import op10_token_binary as op10
 from kelpline.llm import registry
+from kelpline.llm.common import connected_components
 from kelpline.llm.simple8b import decode_blocks
 from kelpline.llm.textkit import WORD_PATTERN, ngrams, winnow, words
 
@@ -234,23 +235,31 @@ def test_findings_against_re(docs):
 # n-gram Jaccard
 
 
-def test_pairs_against_all_pairs(docs):
+@pytest.mark.parametrize("block", [2, 2000])
+def test_links_and_classes_against_all_pairs(docs, block):
     sets = [frozenset(zip(*(split(t)[k:] for k in range(3)))) or frozenset([tuple(split(t))]) for t in TEXTS]
-    head = {}
+    members = defaultdict(list)
     for i, s in enumerate(sets):
-        head.setdefault(s, i)
-    want = {(head[s], i): 1.0 for i, s in enumerate(sets) if head[s] != i}
+        members[s].append(i)
+    head = {s: min(m) for s, m in members.items()}
+    want = {}
     for a, b in itertools.combinations(sorted(head.values()), 2):
         j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
         if j >= 0.5:
             want[a, b] = j
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in op4.jaccard_pairs(docs).collect()}
-    assert got.keys() == want.keys()
+    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in op4.jaccard_pairs(docs, block=block).collect()}
+    assert got.keys() == want.keys() and want
     assert all(got[k] == pytest.approx(want[k]) for k in want)
-    groups = {r["doc_id"]: r["group_id"] for r in op4.jaccard_groups(docs).collect()}
-    assert all(groups[a] == groups[b] for a, b in want)
-    kept = {r["doc_id"] for r in op4.drop_near_copies(docs).collect()}
-    assert kept == {i for i in range(len(TEXTS)) if groups.get(i, i) == i}
+    least = {i: i for i in head.values()}
+    for _ in least:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    degree = Counter(x for k in want for x in k)
+    rows = {(i, least[head[s]], head[s], degree[head[s]], len(m) - 1) for s, m in members.items() for i in m if len(m) > 1 or degree[head[s]]}
+    assert {tuple(r) for r in op4.jaccard_classes(docs, block=block).collect()} == rows
+    if block > 2:
+        kept = {r["doc_id"] for r in op4.drop_near_copies(docs).collect()}
+        assert kept == {i for i, s in enumerate(sets) if least[head[s]] == i}
 
 
 @pytest.mark.parametrize("t", [0.3, 0.8])
@@ -259,13 +268,22 @@ def test_trie_join_of_random_sets(t):
     sets = sorted({tuple(sorted(rng.choice(14, rng.integers(1, 9), replace=False).tolist())) for _ in range(60)})
     arrays = [np.array(s, np.uint64) for s in sets]
     sizes = np.array([len(s) for s in sets]) + rng.integers(0, 2, len(sets))
-    i, j, o = op4.join_component(np.arange(len(sets)), sizes, arrays, t)
-    want = {}
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        n = len(set(sets[a]) & set(sets[b]))
-        if n and n / (sizes[a] + sizes[b] - n) >= t:
-            want[a, b] = n
-    assert dict(zip(zip(i.tolist(), j.tolist()), o.tolist())) == want
+    side = rng.integers(0, 2, len(sets))
+    for sides in (None, side):
+        i, j, o = op4.join_component(sizes, arrays, t, sides)
+        want = {}
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            n = len(set(sets[a]) & set(sets[b]))
+            if n and n / (sizes[a] + sizes[b] - n) >= t and (sides is None or side[a] != side[b]):
+                want[a, b] = n
+        assert dict(zip(zip(i.tolist(), j.tolist()), o.tolist())) == want
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1300)] + [(5, 1299), (3, 3)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in (5, 7, *range(1000, 1300))}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # neighbours
@@ -479,8 +497,8 @@ def test_awkward_rows_have_defined_results(awkward, labels, benchmark):
     assert len(scores) == len(awkward_rows()) - 1 and scores[scores.doc_id == 2].perplexity.isna().all()
     found = {(r["doc_id"], r["rule"], r["occurrences"]) for r in op3.secret_findings(awkward).collect()}
     assert found == {(4, "aws_access_key", 1)}
-    pairs = {(r["doc_id_a"], r["doc_id_b"]) for r in op4.jaccard_pairs(awkward).collect()}
-    assert pairs == {(5, 6)}
+    classes = {tuple(r) for r in op4.jaccard_classes(awkward).collect()}
+    assert classes == {(5, 5, 5, 0, 1), (6, 5, 5, 0, 1)} and op4.jaccard_pairs(awkward).count() == 0
     spans = {r["doc_id"] for r in op6.repeated_spans(awkward).collect()}
     assert spans == {5, 6}
     assert {r["doc_id"] for r in op7.leak_spans(awkward, benchmark).collect()} == set()
@@ -507,7 +525,7 @@ def test_stages_keep_columns_and_rows(spark, awkward, labels, benchmark, tmp_pat
 def test_empty_tables(spark, awkward, labels, benchmark, tmp_path):
     none, no_labels, no_items = awkward.limit(0), labels.limit(0), benchmark.limit(0)
     assert op1.pack(none).count() == op2.brown_perplexity(none).count() == op3.secret_findings(none).count() == 0
-    assert op4.jaccard_pairs(none).count() == op6.repeated_spans(none).count() == op7.leak_spans(none, no_items).count() == 0
+    assert op4.jaccard_classes(none).count() == op6.repeated_spans(none).count() == op7.leak_spans(none, no_items).count() == 0
     assert op8.duplicate_spans(none).count() == op9.toxic_documents(none, no_labels).count() == op10.token_binary(none).count() == 0
     no_labels.write.parquet(str(tmp_path / "labels.parquet"))
     no_items.write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -523,7 +541,7 @@ def test_pipeline_against_its_parts(spark, docs, labels, benchmark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    groups = {r["doc_id"]: r["group_id"] for r in op4.jaccard_groups(docs).collect()}
+    groups = {r["doc_id"]: r["class_id"] for r in op4.jaccard_classes(docs).collect()}
     kept = [i for i in range(len(TEXTS)) if groups.get(i, i) == i]
     size = {}
     for i in kept:
