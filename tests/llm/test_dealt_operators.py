@@ -23,7 +23,7 @@ from kelpline.llm import op10_token_binary as op10
 from kelpline.llm import registry
 from kelpline.llm.common import connected_components
 from kelpline.llm.simple8b import decode_blocks
-from kelpline.llm.textkit import WORD_PATTERN, ngrams, winnow, words
+from kelpline.llm.textkit import WORD_PATTERN, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = np.random.default_rng(11)
@@ -82,39 +82,78 @@ def benchmark(spark):
 # packing
 
 
-def test_nearest_neighbours_are_exact(docs):
-    got = {r["doc_id"]: (r["before"], r["after"], r["holders"]) for r in op1.neighbour_graph(docs).collect()}
-    holders, own = defaultdict(set), {}
-    for i, t in enumerate(TEXTS):
-        w = next(words(pa.array([t])))
-        g, at = ngrams(w.hash(), w.row, op1.NGRAM)
-        own[i] = set(g[winnow(g, w.row[at], op1.WINNOW)].tolist())
-        for k in own[i]:
-            holders[k].add(i)
-    for i in own:
-        shared = sorted((len(holders[k]), k) for k in own[i] if len(holders[k]) > 1)
-        if not shared:
-            assert got[i] == (None, None, 0)
-            continue
-        members = sorted(holders[shared[0][1]])
-        at = members.index(i)
-        assert got[i] == (members[at - 1] if at else None, members[at + 1] if at + 1 < len(members) else None, shared[0][0])
-
-
-def test_closest_documents_against_all_pairs(docs):
-    got = {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in op1.knn_graph(docs).collect()}
-    own = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, w in enumerate(map(split, TEXTS)) if w}
+def packed_by_hand(texts, parts, window):
+    """Windows of the whole method, step by step: nodes, keys, neighbours, clusters, paths, windows."""
+    node, copies = {}, defaultdict(list)
+    for i, t in enumerate(texts):
+        w = tuple(split(t))
+        if w:
+            node.setdefault(w, i)
+            copies[node[w]].append(i)
+    own = {i: set(w) for w, i in node.items()}
     df = Counter(x for v in own.values() for x in v)
+    number = {x: int(h) for x, h in zip(df, next(words(pa.array([" ".join(df)]))).hash())}
+    keys = {i: sorted((df[x], number[x], x) for x in v if df[x] > 1)[: op1.KEYS] for i, v in own.items()}
     weight = {x: max(1, round(1024 * np.log((len(own) + 1) / n))) for x, n in df.items()}
-    assert got.keys() == own.keys()
+    near = {}
     for i in own:
-        shared = sorted((-sum(weight[x] for x in own[i] & own[j]), j) for j in own if j != i and own[i] & own[j])
-        assert got[i] == [(j, -w) for w, j in shared[: op1.NEAREST]]
+        mine = {x for _, _, x in keys[i]}
+        shared = sorted((-sum(weight[x] for _, _, x in keys[j] if x in mine), j) for j in own if j != i and any(x in mine for _, _, x in keys[j]))
+        near[i] = [(j, -w) for w, j in shared[: op1.NEAREST]]
+    label = {i: i for i in own}
+    for _ in own:
+        for i in own:
+            if near[i]:
+                label[i] = label[near[i][0][0]] = min(label[i], label[near[i][0][0]])
+    edges = {frozenset((i, j)): w for i in own for j, w in near[i] if label[i] == label[j]}
+    degree = Counter(x for e in edges for x in e)
+    paths, seen = defaultdict(list), set()
+    for c, d, x in sorted((label[i], degree[i], i) for i in own):
+        while x is not None and x not in seen:
+            seen.add(x)
+            paths[c].append(x)
+            free = [(-edges[frozenset((x, y))], degree[y], y) for y in own if frozenset((x, y)) in edges and y not in seen]
+            x = min(free)[2] if free else None
+    return near, paths, {i: [i, *sorted(set(copies[i]) - {i})] for i in own}
+
+
+def test_graph_paths_and_windows_by_hand(spark, docs):
+    near, paths, copies = packed_by_hand(TEXTS, 4, 200)
+    got = {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in op1.knn_graph(docs)[2].collect()}
+    assert got == {i: v for i, v in near.items() if v} and len(got) > 0.9 * len(near)
     x = TEXTS.index("x y")
-    assert [j for j, _ in got[x]] == [x + 1]
-    sums = np.random.default_rng(1).integers(0, 9, (40, 500)).astype(float)
-    row, col = op1.best_of(sums, 7)
-    assert [(r, c) for r, c in zip(row, col)] == [(r, c) for r in range(40) for c in sorted(range(500), key=lambda c: (-sums[r, c], c))[:7]]
+    assert copies[x] == [x, x + 1]
+    pieces = op1.pack(docs, window=200).toPandas().sort_values(["window_id", "slot"])
+    home = {r["c"]: r["b"] for r in spark.createDataFrame([(c,) for c in paths], "c long").select("c", F.pmod(F.xxhash64("c", F.lit(0).cast("long")), F.lit(4)).alias("b")).collect()}
+    for b in range(4):
+        want, at = [], 0
+        for c in sorted(c for c in paths if home[c] == b):
+            for i in [j for n in paths[c] for j in copies[n]]:
+                size, lo = len(split(TEXTS[i])), 0
+                while lo < size:
+                    hi = min(size, lo + 200 - at % 200)
+                    want.append((i, at // 200, lo, hi))
+                    at, lo = at + hi - lo, hi
+        own = pieces[pieces.window_id // (1 << 36) == b]
+        assert list(zip(own.doc_id, own.window_id % (1 << 36), own.word_start, own.word_end)) == want
+
+
+def test_hot_copies_keys_and_clusters_are_cut_and_whole(spark):
+    rng = np.random.default_rng(9)
+    base = list(rng.choice(VOCABULARY, 50))
+    texts = ["same words here"] * 300
+    for i in range(300):  # a family of near copies, all with the same keys but few
+        w = list(base)
+        w[i % 50] = "n%d" % (i % 7)
+        texts.append(" ".join(w) + " end%d" % (i // 50))
+    docs = frame(spark, list(enumerate(texts)))
+    pieces = op1.pack(docs, window=64, group=32, cluster=40, copies=50).toPandas()
+    assert (pieces.word_end - pieces.word_start).groupby(pieces.doc_id).sum().to_dict() == {i: len(split(t)) for i, t in enumerate(texts)}
+    size = (pieces.word_end - pieces.word_start).groupby(pieces.window_id).sum()
+    assert (size <= 64).all() and (size < 64).groupby(size.index.to_numpy() >> 36).sum().max() <= 1
+    exact = {r["doc_id"]: r["shared"] for r in op1.knn_graph(docs, group=10_000)[2].collect()}
+    some = {r["doc_id"]: r["shared"] for r in op1.knn_graph(docs, group=32)[2].collect()}
+    assert exact.keys() == some.keys() and sum(map(sum, some.values())) > 0.9 * sum(map(sum, exact.values()))
 
 
 def test_windows_hold_every_word_once_and_are_full(docs):
@@ -130,8 +169,9 @@ def test_windows_hold_every_word_once_and_are_full(docs):
 
 
 def test_paths_start_low_and_follow_the_nearest():
-    edges = {(1, 2): 2, (2, 3): 5, (2, 4): 3, (4, 5): 2}
-    assert op1.greedy_paths([1, 2, 3, 4, 5, 9], edges) == [[9], [1, 2, 4, 5], [3]]
+    nodes = np.array([1, 2, 3, 4, 5, 9])
+    edges = np.array([(0, 1, 2), (1, 2, 5), (1, 3, 3), (3, 4, 2)])
+    assert [nodes[p].tolist() for p in op1.walk(nodes, np.zeros(6, np.int64), *edges.T)] == [[9], [1, 2, 4, 5], [3]]
 
 
 # language model
