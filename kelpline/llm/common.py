@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that a lost executor costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written to the shared folder, so that a lost executor costs nothing.
+
+    The shuffle files that led to it are dropped at once.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has Spark's cleaner drop the checkpoint files of frames that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which may be long after a large table was read
+    last.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
