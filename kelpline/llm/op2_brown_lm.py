@@ -1,11 +1,14 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions, smoothed perplexity.
 
 1. Texts become blocks of word numbers with the block's vocabulary, written once.
-2. The core_words most frequent words are clustered by exchange: each word in turn moves to the class that
-   raises the likelihood of the class bigrams most, until none moves.  The core bounds the driver's work; it
-   is a parameter, and its bigrams are counted over the whole corpus.
-3. Every other word of the corpus then makes the same exchange step against the core's classes, by all its
-   neighbours in the core; a word without such neighbours goes to the most frequent class.
+2. The first classes: the core_words most frequent words are clustered by exchange one after the other on the
+   driver, until none moves, from their bigrams in the whole corpus; every other word goes to the class that its
+   neighbours in the core make best, or, without one, to the most frequent class.
+3. Then all words of the corpus, the core's included, are exchanged in rounds: blocks count the neighbours of each word
+   by side and class, over all bigrams; word buckets add these up, take the word out of its class and put
+   it where the likelihood of the class bigrams gains most.  The words of a round move at once.
+   A round that lowers the likelihood is taken back, and from then on halves of the words take turns.  The rounds end when none
+   moves or when one (of halves: two in a row) raises the likelihood by less than `settle` a word.
 4. Transitions P(class | class before) are counted over all words and smoothed with the class unigrams;
    emissions P(word | class) are the word's share of its class, with one more word kept for unseen ones.
 5. Each document gets the perplexity of its words under P(class | class before) * P(word | class).
@@ -13,8 +16,10 @@
 Words move between blocks and word buckets by 64-bit hashes; everything counted follows the corpus, and only
 the class tables, of fixed size, go to all tasks.
 
-Defined results: a null or empty text has n_words 0 and a null perplexity; rows without a doc_id count in the
-model and get no score; repeated rows count, and are scored, each for itself.
+Defined results: a null or empty text, or one without words, has n_words 0 and a null perplexity; rows without a
+doc_id count in the model and get no score; repeated rows count, and are scored, each for itself; a text of any length
+is scored whole; an empty table has no result.  Ties: a word stays, or goes to the least of the best classes; words as
+frequent as others come by their hashes.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, partitions, rows, split_by, to_buckets
+from .common import batches, checkpointed, let_go, partitions, rows, split_by, to_buckets
 from .textkit import group_starts, words
 
 U64 = np.uint64
@@ -39,8 +44,12 @@ COUNTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa
 COUNTS_SQL = "bucket int, keys binary, counts binary"
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary())])
 CONTEXTS_SQL = "bucket int, block long, keys binary, counts binary, sizes binary, codes binary, times binary"
-CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("totals", pa.binary()), ("mass", pa.binary())])
-CLASSES_SQL = "block long, bucket int, classes binary, totals binary, mass binary"
+MOVES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
+MOVES_SQL = "bucket int, block long, keys binary, classes binary, counts binary, sizes binary, codes binary, times binary, sums binary"
+#: Words with so many neighbours by side and class, and those that follow themselves, are moved one by one.
+MANY = 48
+CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("totals", pa.binary()), ("mass", pa.binary()), ("moved", pa.int64())])
+CLASSES_SQL = "block long, bucket int, classes binary, totals binary, mass binary, moved long"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
 
@@ -181,11 +190,12 @@ def gains(pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: float) -> n
     return total - (h(left + out.sum() + own) - h(left)) - (h(right + into.sum() + own) - h(right))
 
 
-def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of n words by exchange, and the class bigram counts; bigrams: rows (before, after), counts theirs.
 
     Words come in the order of their numbers and start in class number % classes; ties go to the least class,
-    and a word stays where it is unless another class is better by more than rounding.
+    and a word stays where it is unless another class is better by more than rounding.  Every move raises the
+    likelihood, so the rounds come to an end.
     """
     n = int(bigrams.max()) + 1 if len(bigrams) else 0
     label = np.arange(n) % classes
@@ -196,7 +206,8 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int, rounds: int
     by_first, by_second = np.argsort(bigrams[:, 0], kind="stable"), np.argsort(bigrams[:, 1], kind="stable")
     first = np.searchsorted(bigrams[by_first, 0], np.arange(n + 1))
     second = np.searchsorted(bigrams[by_second, 1], np.arange(n + 1))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         moved = 0
         for w in range(n):
             o, i = by_first[first[w] : first[w + 1]], by_second[second[w] : second[w + 1]]
@@ -217,8 +228,6 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int, rounds: int
             pairs[best, :] += out
             pairs[:, best] += into
             pairs[best, best] += own
-        if not moved:
-            break
     return label, pairs
 
 
@@ -295,8 +304,97 @@ def best_classes(word: np.ndarray, code: np.ndarray, times: np.ndarray, n: int,
     return out
 
 
+def exchanged(word: np.ndarray, code: np.ndarray, times: np.ndarray, label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The best class of each word that is in pairs with its class label, by all its neighbours.
+
+    word (sorted), code (class before, classes + class after, or 2 * classes for the word itself) and times, as in
+    best_classes; the word's own bigrams are taken out first.
+    """
+    classes, n = len(pairs), len(label)
+    out = label.astype(np.int64).copy()
+    starts = np.searchsorted(word, np.arange(n + 1))
+    itself = np.zeros(n, bool)
+    itself[word[code == 2 * classes]] = True
+    apart = itself | (np.diff(starts) >= MANY)
+    for w in np.flatnonzero(apart).tolist():
+        c, x, a = code[starts[w] : starts[w + 1]], times[starts[w] : starts[w + 1]].astype(float), int(label[w])
+        into, outof, own = np.zeros(classes), np.zeros(classes), float(x[c == 2 * classes].sum())
+        into[c[c < classes]] = x[c < classes]
+        after = (c >= classes) & (c < 2 * classes)
+        outof[c[after] - classes] = x[after]
+        rest = pairs.copy()
+        rest[a, :] -= outof
+        rest[:, a] -= into
+        rest[a, a] -= own
+        gain = gains(rest, outof, into, own)
+        if gain.max() > gain[a] + 1e-7:
+            out[w] = int(np.argmax(gain > gain.max() - 1e-7))
+    keep = ~apart[word]
+    word, code, times = word[keep], code[keep], times[keep]
+    if not len(word):
+        return out
+    left, right = pairs.sum(1), pairs.sum(0)
+    combos, index = np.unique(np.stack([code, times], 1), axis=0, return_inverse=True)
+    index = index.ravel()
+    c, x = combos[:, 0], combos[:, 1].astype(float)[:, None]
+    table = np.where((c < classes)[:, None], h(pairs[np.minimum(c, classes - 1)] + x) - h(pairs[np.minimum(c, classes - 1)]), 0.0)
+    after = np.maximum(c - classes, 0)
+    table = np.where((c >= classes)[:, None], h(pairs[:, after].T + x) - h(pairs[:, after].T), table)
+    starts = group_starts(word)
+    who = word[starts[:-1]]
+    into = np.add.reduceat(np.where(code < classes, times, 0), starts[:-1]).astype(float)
+    outof = np.add.reduceat(np.where(code >= classes, times, 0), starts[:-1]).astype(float)
+    for lo in range(0, len(who), 20_000):
+        hi = min(lo + 20_000, len(who))
+        p, q = starts[lo], starts[hi]
+        m, a, i, o = np.arange(hi - lo), label[who[lo:hi]], into[lo:hi], outof[lo:hi]
+        gain = np.add.reduceat(table[index[p:q]], starts[lo:hi] - p, axis=0)
+        ui, ii = np.unique(i, return_inverse=True)
+        uo, io = np.unique(o, return_inverse=True)
+        gain -= (h(right + ui[:, None]) - h(right))[ii.ravel()] + (h(left + uo[:, None]) - h(left))[io.ravel()]
+        row, k, x = np.repeat(m, np.diff(starts[lo : hi + 1])), code[p:q] % classes, times[p:q].astype(float)
+        before = code[p:q] < classes
+        # where both sides meet on the diagonal
+        key = row * classes + k
+        _, u, v = np.intersect1d(key[before], key[~before], assume_unique=True, return_indices=True)
+        kb, xb, ka, xa, rb, ra = k[before], x[before], k[~before], x[~before], row[before], row[~before]
+        d = pairs[kb[u], kb[u]]
+        np.add.at(gain, (rb[u], kb[u]), h(d + xb[u] + xa[v]) - h(d + xb[u]) - h(d + xa[v]) + h(d))
+        # the own class has the word's bigrams already: in its row and column on one side, against the neighbours' classes on the other
+        at_a, to_a = np.zeros(hi - lo), np.zeros(hi - lo)
+        at_a[rb[kb == a[rb]]], to_a[ra[ka == a[ra]]] = xb[kb == a[rb]], xa[ka == a[ra]]
+        for r, kk, xx, cell, own in ((rb, kb, xb, pairs[kb, a[rb]], to_a), (ra, ka, xa, pairs[a[ra], ka], at_a)):
+            sel = (kk != a[r]) & (own[r] > 0)
+            r, kk, xx, cell, y = r[sel], kk[sel], xx[sel], cell[sel], own[r[sel]]
+            np.add.at(gain, (r, kk), h(cell - xx + y) - h(cell - xx) - h(cell + y) + h(cell))
+        # staying: what the word adds to its class
+        stay = np.zeros(hi - lo)
+        for r, kk, xx, cell in ((rb, kb, xb, pairs[kb, a[rb]]), (ra, ka, xa, pairs[a[ra], ka])):
+            sel = kk != a[r]
+            np.add.at(stay, r[sel], (h(cell) - h(cell - xx))[sel])
+        stay += h(pairs[a, a]) - h(pairs[a, a] - at_a - to_a) - h(left[a]) + h(left[a] - o) - h(right[a]) + h(right[a] - i)
+        gain[m, a] = stay
+        best = np.argmax(gain > gain.max(1, keepdims=True) - 1e-7, axis=1)
+        out[who[lo:hi]] = np.where(gain.max(1) > stay + 1e-7, best, a)
+    return out
+
+
+def replies(where: list[tuple[int, int]], lens: list[int], index: np.ndarray, cls: np.ndarray, total: np.ndarray, classes: int, moved: int) -> pa.RecordBatch:
+    """A word bucket's answer: class and total of every word, to each block in its order; class sums beside them."""
+    mass = np.stack([np.bincount(cls, weights=total, minlength=classes), np.bincount(cls, minlength=classes)])
+    out: dict[str, list] = {f.name: [] for f in CLASSES}
+    pack = zstandard.ZstdCompressor(level=1)
+    begin = np.cumsum(lens) - lens
+    for j, (b, block) in enumerate(where):
+        own = index[begin[j] : begin[j] + lens[j]]
+        out["block"].append(block), out["bucket"].append(b), out["classes"].append(pack.compress(cls[own].astype(np.uint16).tobytes()))
+        out["totals"].append(pack.compress(total[own].astype(np.int64).tobytes())), out["mass"].append(mass.tobytes() if not j else None)
+        out["moved"].append(moved if not j else None)
+    return rows(CLASSES, **out)
+
+
 def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
-    """A word bucket: class and total of every word, returned to each block in its order; class sums beside them."""
+    """A word bucket: the first class of every word."""
     classes = len(pairs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +407,6 @@ def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
                     g.append(np.frombuffer(x, kind))
         if not where:
             return
-        lens = [len(k) for k in got[0]]
         keys, counts, sizes, codes, times = map(np.concatenate, got)
         words_, index = np.unique(keys, return_inverse=True)
         total = np.bincount(index, weights=counts, minlength=len(words_)).astype(np.int64)
@@ -318,22 +415,93 @@ def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
         sums = np.bincount(at.ravel(), weights=times, minlength=len(k)).astype(np.int64)
         cls = best_classes(k // (2 * classes), k % (2 * classes), sums, len(words_), pairs)
         known = lookup(words_, names, label)
-        cls = np.where(known >= 0, known, cls)
-        mass = np.stack([np.bincount(cls, weights=total, minlength=classes), np.bincount(cls, minlength=classes)])
-        out: dict[str, list] = {f.name: [] for f in CLASSES}
-        pack = zstandard.ZstdCompressor(level=1)
-        begin = np.cumsum(lens) - lens
-        for j, (b, block) in enumerate(where):
-            own = index[begin[j] : begin[j] + lens[j]]
-            out["block"].append(block), out["bucket"].append(b), out["classes"].append(pack.compress(cls[own].astype(np.uint16).tobytes()))
-            out["totals"].append(pack.compress(total[own].astype(np.int64).tobytes())), out["mass"].append(mass.tobytes() if not j else None)
-        yield rows(CLASSES, **out)
+        yield replies(where, [len(k) for k in got[0]], index, np.where(known >= 0, known, cls), total, classes, 0)
 
     return run
 
 
-def annotated(it: Iterator[pa.RecordBatch], parts: int):
-    """(ids, known, sizes, class of each word, total of each word) of the blocks that met their word classes."""
+def neighbourhoods(parts: int, classes: int):
+    """Blocks with the classes of their words: for each word its class, count and neighbours by side and class; the block's class bigrams."""
+    wide = 2 * classes + 1
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for x, tokens, cls, _ in joined(it, parts):
+            names = np.frombuffer(x["vocabulary"], U64)
+            if not len(names):
+                continue
+            sizes = np.frombuffer(x["sizes"], np.int32).astype(np.int64)
+            at = np.flatnonzero(neighbours(sizes, len(tokens)))
+            one, two = tokens[at - 1].astype(np.int64), tokens[at].astype(np.int64)
+            sums = np.bincount(cls[one] * classes + cls[two], minlength=classes * classes)
+            same = one == two
+            key = np.concatenate([two[~same] * wide + cls[one[~same]], one[~same] * wide + classes + cls[two[~same]], one[same] * wide + 2 * classes])
+            key, times = np.unique(key, return_counts=True)
+            word, code = key // wide, key % wide
+            size = np.bincount(word, minlength=len(names))
+            begin = np.cumsum(size) - size
+            counts = np.frombuffer(x["counts"], np.uint32)
+            order, cut = split_by(home(names, parts), parts)
+            out: dict[str, list] = {f.name: [] for f in MOVES}
+            for b in np.flatnonzero(np.diff(cut)):
+                own = order[cut[b] : cut[b + 1]]
+                n = size[own]
+                take = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
+                out["bucket"].append(int(b)), out["block"].append(x["block"]), out["keys"].append(names[own].tobytes())
+                out["classes"].append(pack(cls[own].astype(np.uint16).tobytes())), out["counts"].append(pack(counts[own].tobytes()))
+                out["sizes"].append(pack(n.astype(np.uint16).tobytes())), out["codes"].append(pack(code[take].astype(np.uint16).tobytes()))
+                out["times"].append(pack(times[take].astype(np.uint32).tobytes())), out["sums"].append(sums.tobytes() if len(out["block"]) == 1 else None)
+            yield rows(MOVES, **out)
+
+    return run
+
+
+def bigram_sums(classes: int):
+    """Class bigrams of the blocks of a task."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(classes * classes, np.int64)
+        for batch in batches(it):
+            for x in batch.column(0).to_pylist():
+                sums += np.frombuffer(x, np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["key", "n"])
+
+    return run
+
+
+def move(pairs: np.ndarray, half: int | None):
+    """A word bucket: the class of every word after a round; half: 0 or 1 if only half of the words may move."""
+    classes = len(pairs)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        got: list[list] = [[] for _ in range(6)]
+        where = []
+        for batch in batches(it):
+            for b, k, keys, *rest in zip(*(batch.column(x).to_pylist() for x in MOVES.names[:-1])):
+                where.append((b, k)), got[0].append(np.frombuffer(keys, U64))
+                for g, (x, kind) in zip(got[1:], zip(rest, (np.uint16, np.uint32, np.uint16, np.uint16, np.uint32))):
+                    g.append(np.frombuffer(unpack(x), kind))
+        if not where:
+            return
+        keys, own, counts, sizes, codes, times = map(np.concatenate, got)
+        words_, first, index = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(index, weights=counts, minlength=len(words_)).astype(np.int64)
+        label = own[first].astype(np.int64)
+        wide = 2 * classes + 1
+        k, at = np.unique(np.repeat(index, sizes) * wide + codes, return_inverse=True)
+        sums = np.bincount(at.ravel(), weights=times, minlength=len(k)).astype(np.int64)
+        cls = exchanged(k // wide, k % wide, sums, label, pairs)
+        if half is not None:
+            cls = np.where((words_ >> U64(40)) % U64(2) == U64(half), cls, label)
+        yield replies(where, [len(k) for k in got[0]], index, cls, total, classes, int((cls != label).sum()))
+
+    return run
+
+
+def joined(it: Iterator[pa.RecordBatch], parts: int):
+    """(block's row, tokens, class of each of its words, total of each) of the blocks that met their word classes."""
     unpack = zstandard.ZstdDecompressor()
     base: dict[int, dict] = {}
     got: dict[int, list] = {}
@@ -345,12 +513,17 @@ def annotated(it: Iterator[pa.RecordBatch], parts: int):
                 got.setdefault(x["block"], []).append((x["bucket"], x["classes"], x["totals"]))
     for block in sorted(base):
         x = base.pop(block)
-        tokens = np.frombuffer(unpack.decompress(x["tokens"]), np.uint32)
         order, cut = split_by(np.frombuffer(unpack.decompress(x["buckets"]), np.uint16), parts)
         cls, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for b, c, t in got.pop(block, []):
             own = order[cut[b] : cut[b + 1]]
             cls[own], total[own] = np.frombuffer(unpack.decompress(c), np.uint16), np.frombuffer(unpack.decompress(t), np.int64)
+        yield x, np.frombuffer(unpack.decompress(x["tokens"]), np.uint32), cls, total
+
+
+def annotated(it: Iterator[pa.RecordBatch], parts: int):
+    """(ids, known, sizes, class of each word, total of each word) of the blocks that met their word classes."""
+    for x, tokens, cls, total in joined(it, parts):
         yield np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool), np.frombuffer(x["sizes"], np.int32).astype(np.int64), cls[tokens], total[tokens]
 
 
@@ -393,11 +566,8 @@ def score(parts: int, trans: np.ndarray, mass: np.ndarray, members: np.ndarray):
     return run
 
 
-def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024, rounds: int = 10, alpha: float = 10.0) -> DataFrame:
-    """doc_id, n_words, log_prob and perplexity of every document that has a doc_id."""
-    parts = min(65536, partitions(docs.sparkSession))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = checkpointed(texts.mapInArrow(lambda it: to_blocks(it, parts), BLOCKS_SQL))
+def first_classes(blocks: DataFrame, classes: int, core_words: int, parts: int) -> DataFrame:
+    """Classes by the core's exchange and by the core's neighbours."""
     counted = to_buckets(blocks.mapInArrow(word_counts(parts), COUNTS_SQL), parts)
     top = counted.mapInArrow(summed(core_words), "key long, n long").orderBy(F.desc("n"), "key").limit(core_words).collect()
     core = np.array([r["key"] for r in top], np.int64).view(U64)
@@ -405,23 +575,68 @@ def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024,
     key = pairs_["key"].to_numpy()
     order = np.argsort(key)
     key, n = key[order], pairs_["n"].to_numpy()[order].astype(float)
-    label, pairs = exchange(np.stack([key // max(1, len(core)), key % max(1, len(core))], 1), n, classes, rounds)
+    label, pairs = exchange(np.stack([key // max(1, len(core)), key % max(1, len(core))], 1), n, classes)
     label = np.append(label, np.arange(len(label), len(core)) % classes)
     by_hash = np.argsort(core)
     names, label = core[by_hash], label[by_hash]
-    found = checkpointed(to_buckets(blocks.mapInArrow(contexts(parts, names, label, classes), CONTEXTS_SQL), parts).mapInArrow(assign(names, label, pairs), CLASSES_SQL))
-    mass, members = np.zeros(classes), np.zeros(classes)
-    for r in found.where("mass IS NOT NULL").select("mass").toLocalIterator():
-        m = np.frombuffer(r[0], float).reshape(2, classes)
-        mass, members = mass + m[0], members + m[1]
+    return checkpointed(to_buckets(blocks.mapInArrow(contexts(parts, names, label, classes), CONTEXTS_SQL), parts).mapInArrow(assign(names, label, pairs), CLASSES_SQL))
+
+
+def meet(blocks: DataFrame, found: DataFrame, parts: int, own: tuple[str, ...]) -> DataFrame:
+    """Blocks and the classes of their words in one place."""
     empty = F.lit(None).cast("binary")
-    own = ["ids", "known", "sizes", "tokens", "buckets"]
     base = blocks.select("block", *own, F.lit(0).alias("kind"), F.lit(0).alias("bucket"), empty.alias("classes"), empty.alias("totals"))
     back = found.select("block", *(empty.alias(c) for c in own), F.lit(1).alias("kind"), "bucket", "classes", "totals")
     merged = base.unionByName(back).withColumn("home", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    merged = to_buckets(merged, parts, "home").drop("home")
-    sums = merged.mapInArrow(transitions(parts, classes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((classes + 1) * classes)
-    counts[sums["key"].to_numpy()] = sums["n"].to_numpy()
+    return to_buckets(merged, parts, "home").drop("home")
+
+
+def table(sums: DataFrame, size: int) -> np.ndarray:
+    """Rows (key, n) added up; the keys are below size."""
+    got = sums.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size)
+    out[got["key"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def exchange_all(blocks: DataFrame, found: DataFrame, classes: int, settle: float, parts: int, trace: list | None = None) -> DataFrame:
+    """The classes after rounds in which all words of the corpus may move; trace: gets the likelihood of each round."""
+    spark = blocks.sparkSession
+    best, kept, half, small = None, found, None, 0
+    while True:
+        around = checkpointed(meet(blocks, found, parts, ("sizes", "tokens", "vocabulary", "counts", "buckets")).mapInArrow(neighbourhoods(parts, classes), MOVES_SQL))
+        pairs = table(around.where("sums IS NOT NULL").select("sums").mapInArrow(bigram_sums(classes), "key long, n long"), classes * classes).reshape(classes, classes)
+        value, n = likelihood(pairs), max(1.0, pairs.sum())
+        if trace is not None:
+            trace.append(value)
+        if best is not None and value < best:  # the moves of the round got in each other's way
+            if half is not None:
+                return kept
+            found, half = kept, 0
+            continue
+        small = small + 1 if best is not None and value - best < settle * n else 0
+        best, kept = value, found
+        if small >= (1 if half is None else 2):
+            return kept
+        found = checkpointed(to_buckets(around, parts).mapInArrow(move(pairs, half), CLASSES_SQL))
+        del around
+        let_go(spark)
+        if not found.agg(F.sum("moved")).first()[0] and half is None:
+            return kept
+        half = None if half is None else 1 - half
+
+
+def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024, alpha: float = 10.0, settle: float = 5e-3) -> DataFrame:
+    """doc_id, n_words, log_prob and perplexity of every document that has a doc_id."""
+    parts = min(65536, partitions(docs.sparkSession))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = checkpointed(texts.mapInArrow(lambda it: to_blocks(it, parts), BLOCKS_SQL))
+    found = exchange_all(blocks, first_classes(blocks, classes, core_words, parts), classes, settle, parts)
+    mass, members = np.zeros(classes), np.zeros(classes)
+    for r in found.where("mass IS NOT NULL").select("mass").toLocalIterator():
+        m = np.frombuffer(r[0], float).reshape(2, classes)
+        mass, members = mass + m[0], members + m[1]
+    merged = meet(blocks, found, parts, ("ids", "known", "sizes", "tokens", "buckets"))
+    counts = table(merged.mapInArrow(transitions(parts, classes), "key long, n long"), (classes + 1) * classes)
     trans = log_transitions(counts.reshape(classes + 1, classes), alpha)
     return merged.mapInArrow(score(parts, trans, mass, members), "doc_id long, n_words long, log_prob double, perplexity double")

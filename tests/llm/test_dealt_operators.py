@@ -217,31 +217,104 @@ def test_assignment_against_the_exchange_step():
         assert got[w] == int(np.argmax(g > g.max() - 1e-7))
 
 
-def test_perplexity_against_counts(docs):
-    got = {r["doc_id"]: r for r in op2.brown_perplexity(docs, classes=3, core_words=1000, alpha=2.0).collect()}
-    # all words are core here: their classes come from the exchange over the true bigrams
+@pytest.mark.parametrize("many", [1, 4, 1000])
+def test_moves_against_leaving_each_word_out(many, monkeypatch):
+    monkeypatch.setattr(op2, "MANY", many)
+    rng = np.random.default_rng(2)
+    c, n = 4, 60
+    label = rng.integers(0, c, n)
+    bigrams = np.unique(rng.integers(0, n, (160, 2)), axis=0)
+    counts = rng.integers(1, 6, len(bigrams))
+    pairs = np.zeros((c, c))
+    np.add.at(pairs, (label[bigrams[:, 0]], label[bigrams[:, 1]]), counts)
+    rows = Counter()
+    for (a, b), x in zip(bigrams.tolist(), counts.tolist()):
+        if a == b:
+            rows[a, 2 * c] += x
+        else:
+            rows[b, int(label[a])] += x
+            rows[a, c + int(label[b])] += x
+    a = np.array([(w, code, x) for (w, code), x in sorted(rows.items())])
+    got = op2.exchanged(a[:, 0], a[:, 1], a[:, 2], label, pairs)
+
+    def value(w, k):
+        m, new = np.zeros((c, c)), np.where(np.arange(n) == w, k, label)
+        np.add.at(m, (new[bigrams[:, 0]], new[bigrams[:, 1]]), counts)
+        return op2.likelihood(m)
+
+    for w in range(n):
+        f = [value(w, k) for k in range(c)]
+        assert got[w] == (label[w] if max(f) <= f[label[w]] + 1e-7 else int(np.argmax(np.array(f) > max(f) - 1e-7)))
+
+
+@pytest.mark.parametrize("core_words", [30, 1000])
+def test_perplexity_step_by_step(docs, core_words):
+    c = 3
+    got = {r["doc_id"]: r for r in op2.brown_perplexity(docs, classes=c, core_words=core_words, alpha=2.0, settle=1e-3).collect()}
     every = [split(t) for t in TEXTS]
     n = Counter(w for d in every for w in d)
-    key = {}
-    for w in words(pa.array([" ".join(n)])):
-        key = dict(zip(n, w.hash().view(np.int64).tolist()))
+    key = dict(zip(n, next(words(pa.array([" ".join(n)]))).hash().view(np.int64).tolist()))
     order = sorted(n, key=lambda w: (-n[w], key[w]))
     number = {w: i for i, w in enumerate(order)}
     pairs = Counter((number[a], number[b]) for d in every for a, b in zip(d, d[1:]))
-    keys = sorted(pairs)
-    label, _ = op2.exchange(np.array(keys), np.array([pairs[k] for k in keys], float), 3)
-    label = np.append(label, np.arange(len(label), len(order)) % 3)
-    cls = {w: int(label[number[w]]) for w in order}
-    trans = np.zeros((4, 3))
+    core = {k: v for k, v in pairs.items() if max(k) < core_words}
+    keys = sorted(core)
+    label, m = op2.exchange(np.array(keys), np.array([core[k] for k in keys], float), c)
+    label = np.append(label, np.arange(len(label), min(core_words, len(order))) % c)
+    first = list(label)
+    for w in range(len(label), len(order)):
+        into, out = np.zeros(c), np.zeros(c)
+        for (a, b), x in pairs.items():
+            if b == w and a < core_words:
+                into[label[a]] += x
+            if a == w and b < core_words:
+                out[label[b]] += x
+        g = op2.gains(m, out, into, 0.0)
+        first.append(int(np.argmax(g > g.max() - 1e-7)) if into.any() or out.any() else int(np.argmax(m.sum(0) + m.sum(1))))
+    ends, x = np.array(list(pairs)), np.array(list(pairs.values()), float)
+
+    def table(lab):
+        t = np.zeros((c, c))
+        np.add.at(t, (lab[ends[:, 0]], lab[ends[:, 1]]), x)
+        return t
+
+    def moved(lab, half):
+        t, new = table(lab), lab.copy()
+        for w in range(len(lab)):
+            if half is not None and (key[order[w]] % 2**64 >> 40) % 2 != half:
+                continue
+            f = [op2.likelihood(table(np.where(np.arange(len(lab)) == w, k, lab))) for k in range(c)]
+            if max(f) > f[lab[w]] + 1e-7:
+                new[w] = int(np.argmax(np.array(f) > max(f) - 1e-7))
+        return new
+
+    lab, best, half, small, values = np.array(first), None, None, 0, []
+    while True:
+        v = op2.likelihood(table(lab))
+        if best is not None and v < best:
+            if half is not None:
+                break
+            lab, half = kept, 0
+            continue
+        small = small + 1 if best is not None and v - best < 1e-3 * x.sum() else 0
+        best, kept = v, lab
+        values.append(v)
+        if small >= (1 if half is None else 2):
+            break
+        lab = moved(lab, half)
+        half = None if half is None else 1 - half
+    assert core_words == 1000 or values[-1] > values[0]
+    cls = {w: int(kept[number[w]]) for w in order}
+    trans = np.zeros((c + 1, c))
     for d in every:
         for a, b in zip([None, *d], d):
-            trans[3 if a is None else cls[a], cls[b]] += 1
+            trans[c if a is None else cls[a], cls[b]] += 1
     logs = op2.log_transitions(trans, 2.0)
     mass, members = Counter(), Counter(cls.values())
     for w in order:
         mass[cls[w]] += n[w]
     for i, d in enumerate(every):
-        s = sum(logs[3 if a is None else cls[a], cls[b]] + np.log((n[b] + 1) / (mass[cls[b]] + members[cls[b]] + 1)) for a, b in zip([None, *d], d))
+        s = sum(logs[c if a is None else cls[a], cls[b]] + np.log((n[b] + 1) / (mass[cls[b]] + members[cls[b]] + 1)) for a, b in zip([None, *d], d))
         assert got[i]["n_words"] == len(d) and got[i]["log_prob"] == pytest.approx(s, abs=1e-4)
         assert got[i]["perplexity"] == pytest.approx(np.exp(-s / len(d)), rel=1e-5)
 
