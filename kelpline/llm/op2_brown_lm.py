@@ -612,13 +612,13 @@ def exchange_all(blocks: DataFrame, found: DataFrame, classes: int, settle: floa
         if best is not None and value < best:  # the moves of the round got in each other's way
             if half is not None:
                 return kept
-            found, half = kept, 0
-            continue
-        small = small + 1 if best is not None and value - best < settle * n else 0
-        best, kept = value, found
-        if small >= (1 if half is None else 2):
-            return kept
-        found = checkpointed(to_buckets(around, parts).mapInArrow(move(pairs, half), CLASSES_SQL))
+            half = 0
+        else:
+            small = small + 1 if best is not None and value - best < settle * n else 0
+            best, kept, state = value, found, (around, pairs)
+            if small >= (1 if half is None else 2):
+                return kept
+        found = checkpointed(to_buckets(state[0], parts).mapInArrow(move(state[1], half), CLASSES_SQL))
         del around
         let_go(spark)
         if not found.agg(F.sum("moved")).first()[0] and half is None:

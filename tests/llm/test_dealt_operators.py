@@ -294,14 +294,14 @@ def test_perplexity_step_by_step(docs, core_words):
         if best is not None and v < best:
             if half is not None:
                 break
-            lab, half = kept, 0
-            continue
-        small = small + 1 if best is not None and v - best < 1e-3 * x.sum() else 0
-        best, kept = v, lab
-        values.append(v)
-        if small >= (1 if half is None else 2):
-            break
-        lab = moved(lab, half)
+            half = 0
+        else:
+            small = small + 1 if best is not None and v - best < 1e-3 * x.sum() else 0
+            best, kept = v, lab
+            values.append(v)
+            if small >= (1 if half is None else 2):
+                break
+        lab = moved(kept, half)
         half = None if half is None else 1 - half
     assert core_words == 1000 or values[-1] > values[0]
     cls = {w: int(kept[number[w]]) for w in order}
