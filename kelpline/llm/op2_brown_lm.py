@@ -44,12 +44,12 @@ COUNTS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa
 COUNTS_SQL = "bucket int, keys binary, counts binary"
 CONTEXTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary())])
 CONTEXTS_SQL = "bucket int, block long, keys binary, counts binary, sizes binary, codes binary, times binary"
-MOVES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
-MOVES_SQL = "bucket int, block long, keys binary, classes binary, counts binary, sizes binary, codes binary, times binary, sums binary"
+MOVES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("numbers", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
+MOVES_SQL = "bucket int, block long, numbers binary, classes binary, sizes binary, codes binary, times binary, sums binary"
 #: Words with so many neighbours by side and class, and those that follow themselves, are moved one by one.
 MANY = 48
-CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("totals", pa.binary()), ("mass", pa.binary()), ("moved", pa.int64())])
-CLASSES_SQL = "block long, bucket int, classes binary, totals binary, mass binary, moved long"
+CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("numbers", pa.binary()), ("totals", pa.binary()), ("members", pa.binary()), ("moved", pa.int64())])
+CLASSES_SQL = "block long, bucket int, classes binary, numbers binary, totals binary, members binary, moved long"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
 
@@ -379,20 +379,29 @@ def exchanged(word: np.ndarray, code: np.ndarray, times: np.ndarray, label: np.n
     return out
 
 
-def replies(where: list[tuple[int, int]], lens: list[int], index: np.ndarray, cls: np.ndarray, total: np.ndarray, classes: int, moved: int) -> pa.RecordBatch:
-    """A word bucket's answer: class and total of every word, to each block in its order; class sums beside them."""
-    mass = np.stack([np.bincount(cls, weights=total, minlength=classes), np.bincount(cls, minlength=classes)])
+def replies(where: list[tuple[int, int]], lens: list[int], index: np.ndarray, cls: np.ndarray, classes: int, moved: int, names: np.ndarray | None = None, total: np.ndarray | None = None) -> pa.RecordBatch:
+    """A word bucket's answer: the class of every word, to each block in its order, and the members of each class beside them.
+
+    With names and total each block also gets the numbers of its words in the bucket, a bit of their hash below, and their totals.
+    """
+    pack = zstandard.ZstdCompressor(level=1).compress
     out: dict[str, list] = {f.name: [] for f in CLASSES}
-    pack = zstandard.ZstdCompressor(level=1)
     begin = np.cumsum(lens) - lens
     for j, (b, block) in enumerate(where):
         own = index[begin[j] : begin[j] + lens[j]]
-        out["block"].append(block), out["bucket"].append(b), out["classes"].append(pack.compress(cls[own].astype(np.uint16).tobytes()))
-        out["totals"].append(pack.compress(total[own].astype(np.int64).tobytes())), out["mass"].append(mass.tobytes() if not j else None)
-        out["moved"].append(moved if not j else None)
+        out["block"].append(block), out["bucket"].append(b), out["classes"].append(pack(cls[own].astype(np.uint16).tobytes()))
+        out["members"].append(np.bincount(cls, minlength=classes).tobytes() if not j else None), out["moved"].append(moved if not j else None)
+        first = names is not None
+        out["numbers"].append(pack(np.diff(own * 2 + half_of(names[own]), prepend=0).astype(np.uint32).tobytes()) if first else None)
+        out["totals"].append(pack(total[own].astype(np.int64).tobytes()) if first else None)
     return rows(CLASSES, **out)
 
 
+def half_of(names: np.ndarray) -> np.ndarray:
+    """The half of the words that each belongs to."""
+    return ((names >> U64(40)) % U64(2)).astype(np.int64)
+
+
 def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
     """A word bucket: the first class of every word."""
     classes = len(pairs)
@@ -415,20 +424,19 @@ def assign(names: np.ndarray, label: np.ndarray, pairs: np.ndarray):
         sums = np.bincount(at.ravel(), weights=times, minlength=len(k)).astype(np.int64)
         cls = best_classes(k // (2 * classes), k % (2 * classes), sums, len(words_), pairs)
         known = lookup(words_, names, label)
-        yield replies(where, [len(k) for k in got[0]], index, np.where(known >= 0, known, cls), total, classes, 0)
+        yield replies(where, [len(k) for k in got[0]], index, np.where(known >= 0, known, cls), classes, 0, words_, total)
 
     return run
 
 
 def neighbourhoods(parts: int, classes: int):
-    """Blocks with the classes of their words: for each word its class, count and neighbours by side and class; the block's class bigrams."""
+    """Blocks with the classes of their words: for each word its class and neighbours by side and class; the block's class bigrams."""
     wide = 2 * classes + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for x, tokens, cls, _ in joined(it, parts):
-            names = np.frombuffer(x["vocabulary"], U64)
-            if not len(names):
+        for x, tokens, cls, order, cut, numbers in joined(it, parts):
+            if not len(cls):
                 continue
             sizes = np.frombuffer(x["sizes"], np.int32).astype(np.int64)
             at = np.flatnonzero(neighbours(sizes, len(tokens)))
@@ -438,17 +446,15 @@ def neighbourhoods(parts: int, classes: int):
             key = np.concatenate([two[~same] * wide + cls[one[~same]], one[~same] * wide + classes + cls[two[~same]], one[same] * wide + 2 * classes])
             key, times = np.unique(key, return_counts=True)
             word, code = key // wide, key % wide
-            size = np.bincount(word, minlength=len(names))
+            size = np.bincount(word, minlength=len(cls))
             begin = np.cumsum(size) - size
-            counts = np.frombuffer(x["counts"], np.uint32)
-            order, cut = split_by(home(names, parts), parts)
             out: dict[str, list] = {f.name: [] for f in MOVES}
             for b in np.flatnonzero(np.diff(cut)):
                 own = order[cut[b] : cut[b + 1]]
                 n = size[own]
                 take = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
-                out["bucket"].append(int(b)), out["block"].append(x["block"]), out["keys"].append(names[own].tobytes())
-                out["classes"].append(pack(cls[own].astype(np.uint16).tobytes())), out["counts"].append(pack(counts[own].tobytes()))
+                out["bucket"].append(int(b)), out["block"].append(x["block"]), out["numbers"].append(numbers[int(b)])
+                out["classes"].append(pack(cls[own].astype(np.uint16).tobytes()))
                 out["sizes"].append(pack(n.astype(np.uint16).tobytes())), out["codes"].append(pack(code[take].astype(np.uint16).tobytes()))
                 out["times"].append(pack(times[take].astype(np.uint32).tobytes())), out["sums"].append(sums.tobytes() if len(out["block"]) == 1 else None)
             yield rows(MOVES, **out)
@@ -476,54 +482,60 @@ def move(pairs: np.ndarray, half: int | None):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        got: list[list] = [[] for _ in range(6)]
+        got: list[list] = [[] for _ in range(5)]
         where = []
         for batch in batches(it):
-            for b, k, keys, *rest in zip(*(batch.column(x).to_pylist() for x in MOVES.names[:-1])):
-                where.append((b, k)), got[0].append(np.frombuffer(keys, U64))
-                for g, (x, kind) in zip(got[1:], zip(rest, (np.uint16, np.uint32, np.uint16, np.uint16, np.uint32))):
+            for b, k, numbers, *rest in zip(*(batch.column(x).to_pylist() for x in MOVES.names[:-1])):
+                where.append((b, k)), got[0].append(np.cumsum(np.frombuffer(unpack(numbers), np.uint32), dtype=np.int64))
+                for g, (x, kind) in zip(got[1:], zip(rest, (np.uint16, np.uint16, np.uint16, np.uint32))):
                     g.append(np.frombuffer(unpack(x), kind))
         if not where:
             return
-        keys, own, counts, sizes, codes, times = map(np.concatenate, got)
-        words_, first, index = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(index, weights=counts, minlength=len(words_)).astype(np.int64)
-        label = own[first].astype(np.int64)
+        numbers, own, sizes, codes, times = map(np.concatenate, got)
+        index = numbers >> 1
+        label, halves = np.zeros(int(index.max()) + 1, np.int64), np.zeros(int(index.max()) + 1, np.int64)
+        label[index], halves[index] = own, numbers & 1
         wide = 2 * classes + 1
-        k, at = np.unique(np.repeat(index, sizes) * wide + codes, return_inverse=True)
-        sums = np.bincount(at.ravel(), weights=times, minlength=len(k)).astype(np.int64)
+        k = np.repeat(index, sizes) * wide + codes
+        order = np.argsort(k)
+        starts = group_starts(k[order])
+        k, sums = k[order][starts[:-1]], np.add.reduceat(times[order].astype(np.int64), starts[:-1]) if len(k) else np.zeros(0, np.int64)
         cls = exchanged(k // wide, k % wide, sums, label, pairs)
         if half is not None:
-            cls = np.where((words_ >> U64(40)) % U64(2) == U64(half), cls, label)
-        yield replies(where, [len(k) for k in got[0]], index, cls, total, classes, int((cls != label).sum()))
+            cls = np.where(halves == half, cls, label)
+        yield replies(where, [len(k) for k in got[0]], index, cls, classes, int((cls != label).sum()))
 
     return run
 
 
 def joined(it: Iterator[pa.RecordBatch], parts: int):
-    """(block's row, tokens, class of each of its words, total of each) of the blocks that met their word classes."""
+    """(block's row, tokens, class of each of its words, its words by bucket, where each bucket begins, what else each bucket sent)."""
     unpack = zstandard.ZstdDecompressor()
     base: dict[int, dict] = {}
-    got: dict[int, list] = {}
+    got: dict[int, tuple[dict, dict]] = {}
     for batch in batches(it):
         for x in batch.to_pylist():
             if x["kind"] == 0:
                 base[x["block"]] = x
             else:
-                got.setdefault(x["block"], []).append((x["bucket"], x["classes"], x["totals"]))
+                got.setdefault(x["block"], ({}, {}))[x["kind"] - 1][x["bucket"]] = x["sent"]
     for block in sorted(base):
         x = base.pop(block)
         order, cut = split_by(np.frombuffer(unpack.decompress(x["buckets"]), np.uint16), parts)
-        cls, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for b, c, t in got.pop(block, []):
-            own = order[cut[b] : cut[b + 1]]
-            cls[own], total[own] = np.frombuffer(unpack.decompress(c), np.uint16), np.frombuffer(unpack.decompress(t), np.int64)
-        yield x, np.frombuffer(unpack.decompress(x["tokens"]), np.uint32), cls, total
+        cls = np.zeros(len(order), np.int64)
+        sent, rest = got.pop(block, ({}, {}))
+        for b, c in sent.items():
+            cls[order[cut[b] : cut[b + 1]]] = np.frombuffer(unpack.decompress(c), np.uint16)
+        yield x, np.frombuffer(unpack.decompress(x["tokens"]), np.uint32), cls, order, cut, rest
 
 
 def annotated(it: Iterator[pa.RecordBatch], parts: int):
     """(ids, known, sizes, class of each word, total of each word) of the blocks that met their word classes."""
-    for x, tokens, cls, total in joined(it, parts):
+    unpack = zstandard.ZstdDecompressor()
+    for x, tokens, cls, order, cut, totals in joined(it, parts):
+        total = np.zeros(len(cls), np.int64)
+        for b, t in totals.items():
+            total[order[cut[b] : cut[b + 1]]] = np.frombuffer(unpack.decompress(t), np.int64)
         yield np.frombuffer(x["ids"], np.int64), np.frombuffer(x["known"], bool), np.frombuffer(x["sizes"], np.int32).astype(np.int64), cls[tokens], total[tokens]
 
 
@@ -582,12 +594,12 @@ def first_classes(blocks: DataFrame, classes: int, core_words: int, parts: int)
     return checkpointed(to_buckets(blocks.mapInArrow(contexts(parts, names, label, classes), CONTEXTS_SQL), parts).mapInArrow(assign(names, label, pairs), CLASSES_SQL))
 
 
-def meet(blocks: DataFrame, found: DataFrame, parts: int, own: tuple[str, ...]) -> DataFrame:
-    """Blocks and the classes of their words in one place."""
+def meet(blocks: DataFrame, found: DataFrame, first: DataFrame, rest: str, parts: int, own: tuple[str, ...]) -> DataFrame:
+    """Blocks, the classes of their words, and numbers or totals from the first answers, in one place."""
     empty = F.lit(None).cast("binary")
-    base = blocks.select("block", *own, F.lit(0).alias("kind"), F.lit(0).alias("bucket"), empty.alias("classes"), empty.alias("totals"))
-    back = found.select("block", *(empty.alias(c) for c in own), F.lit(1).alias("kind"), "bucket", "classes", "totals")
-    merged = base.unionByName(back).withColumn("home", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    base = blocks.select("block", *own, F.lit(0).alias("kind"), F.lit(0).alias("bucket"), empty.alias("sent"))
+    back = [x.select("block", *(empty.alias(c) for c in own), F.lit(kind).alias("kind"), "bucket", F.col(c).alias("sent")) for kind, x, c in ((1, found, "classes"), (2, first, rest))]
+    merged = base.unionByName(back[0]).unionByName(back[1]).withColumn("home", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
     return to_buckets(merged, parts, "home").drop("home")
 
 
@@ -599,12 +611,13 @@ def table(sums: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def exchange_all(blocks: DataFrame, found: DataFrame, classes: int, settle: float, parts: int, trace: list | None = None) -> DataFrame:
+def exchange_all(blocks: DataFrame, first: DataFrame, classes: int, settle: float, parts: int, trace: list | None = None) -> DataFrame:
     """The classes after rounds in which all words of the corpus may move; trace: gets the likelihood of each round."""
     spark = blocks.sparkSession
-    best, kept, half, small = None, found, None, 0
+    found = kept = first
+    best, half, small = None, None, 0
     while True:
-        around = checkpointed(meet(blocks, found, parts, ("sizes", "tokens", "vocabulary", "counts", "buckets")).mapInArrow(neighbourhoods(parts, classes), MOVES_SQL))
+        around = checkpointed(meet(blocks, found, first, "numbers", parts, ("sizes", "tokens", "buckets")).mapInArrow(neighbourhoods(parts, classes), MOVES_SQL))
         pairs = table(around.where("sums IS NOT NULL").select("sums").mapInArrow(bigram_sums(classes), "key long, n long"), classes * classes).reshape(classes, classes)
         value, n = likelihood(pairs), max(1.0, pairs.sum())
         if trace is not None:
@@ -631,12 +644,12 @@ def brown_perplexity(docs: DataFrame, classes: int = 64, core_words: int = 1024,
     parts = min(65536, partitions(docs.sparkSession))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = checkpointed(texts.mapInArrow(lambda it: to_blocks(it, parts), BLOCKS_SQL))
-    found = exchange_all(blocks, first_classes(blocks, classes, core_words, parts), classes, settle, parts)
-    mass, members = np.zeros(classes), np.zeros(classes)
-    for r in found.where("mass IS NOT NULL").select("mass").toLocalIterator():
-        m = np.frombuffer(r[0], float).reshape(2, classes)
-        mass, members = mass + m[0], members + m[1]
-    merged = meet(blocks, found, parts, ("ids", "known", "sizes", "tokens", "buckets"))
-    counts = table(merged.mapInArrow(transitions(parts, classes), "key long, n long"), (classes + 1) * classes)
-    trans = log_transitions(counts.reshape(classes + 1, classes), alpha)
-    return merged.mapInArrow(score(parts, trans, mass, members), "doc_id long, n_words long, log_prob double, perplexity double")
+    first = first_classes(blocks, classes, core_words, parts)
+    found = exchange_all(blocks, first, classes, settle, parts)
+    members = np.zeros(classes)
+    for r in found.where("members IS NOT NULL").select("members").toLocalIterator():
+        members += np.frombuffer(r[0], np.int64)
+    merged = meet(blocks, found, first, "totals", parts, ("ids", "known", "sizes", "tokens", "buckets"))
+    counts = table(merged.mapInArrow(transitions(parts, classes), "key long, n long"), (classes + 1) * classes).reshape(classes + 1, classes)
+    # every word stands behind another or at the beginning, so the columns add up to the classes' words
+    return merged.mapInArrow(score(parts, log_transitions(counts, alpha), counts.sum(0), members), "doc_id long, n_words long, log_prob double, perplexity double")
