@@ -48,6 +48,7 @@ MOVES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("numbers", pa
 MOVES_SQL = "bucket int, block long, numbers binary, classes binary, sizes binary, codes binary, times binary, sums binary"
 #: Words with so many neighbours by side and class, and those that follow themselves, are moved one by one.
 MANY = 48
+FEW = 3
 CLASSES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("numbers", pa.binary()), ("totals", pa.binary()), ("members", pa.binary()), ("moved", pa.int64())])
 CLASSES_SQL = "block long, bucket int, classes binary, numbers binary, totals binary, members binary, moved long"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
@@ -344,15 +345,34 @@ def exchanged(word: np.ndarray, code: np.ndarray, times: np.ndarray, label: np.n
     who = word[starts[:-1]]
     into = np.add.reduceat(np.where(code < classes, times, 0), starts[:-1]).astype(float)
     outof = np.add.reduceat(np.where(code >= classes, times, 0), starts[:-1]).astype(float)
-    for lo in range(0, len(who), 20_000):
-        hi = min(lo + 20_000, len(who))
+    # entries of few occurrences, most of all, are summed by a matrix product
+    few = [(x, np.flatnonzero(combos[:, 1] == x)) for x in range(1, FEW + 1)]
+    small = []
+    for _, at in few:
+        part = np.zeros((2 * classes, classes))
+        part[combos[at, 0]] = table[at]
+        small.append(part)
+    rare = times <= FEW
+    for lo in range(0, len(who), 2048):
+        hi = min(lo + 2048, len(who))
         p, q = starts[lo], starts[hi]
         m, a, i, o = np.arange(hi - lo), label[who[lo:hi]], into[lo:hi], outof[lo:hi]
-        gain = np.add.reduceat(table[index[p:q]], starts[lo:hi] - p, axis=0)
+        row = np.repeat(m, np.diff(starts[lo : hi + 1]))
+        gain = np.zeros((hi - lo, classes))
+        for x, part in enumerate(small, 1):
+            at = np.flatnonzero(times[p:q] == x)
+            if len(at):
+                holds = np.zeros((hi - lo, 2 * classes))
+                holds[row[at], code[p:q][at]] = 1.0
+                gain += holds @ part
+        at = np.flatnonzero(~rare[p:q])
+        if len(at):
+            first = np.flatnonzero(np.append(True, row[at][1:] != row[at][:-1]))
+            gain[row[at][first]] += np.add.reduceat(table[index[p:q][at]], first, axis=0)
         ui, ii = np.unique(i, return_inverse=True)
         uo, io = np.unique(o, return_inverse=True)
         gain -= (h(right + ui[:, None]) - h(right))[ii.ravel()] + (h(left + uo[:, None]) - h(left))[io.ravel()]
-        row, k, x = np.repeat(m, np.diff(starts[lo : hi + 1])), code[p:q] % classes, times[p:q].astype(float)
+        k, x = code[p:q] % classes, times[p:q].astype(float)
         before = code[p:q] < classes
         # where both sides meet on the diagonal
         key = row * classes + k
@@ -444,7 +464,9 @@ def neighbourhoods(parts: int, classes: int):
             sums = np.bincount(cls[one] * classes + cls[two], minlength=classes * classes)
             same = one == two
             key = np.concatenate([two[~same] * wide + cls[one[~same]], one[~same] * wide + classes + cls[two[~same]], one[same] * wide + 2 * classes])
-            key, times = np.unique(key, return_counts=True)
+            key = np.sort(key.astype(np.uint32) if len(cls) * wide < 1 << 32 else key)
+            at = group_starts(key)
+            key, times = key[at[:-1]].astype(np.int64), np.diff(at)
             word, code = key // wide, key % wide
             size = np.bincount(word, minlength=len(cls))
             begin = np.cumsum(size) - size
