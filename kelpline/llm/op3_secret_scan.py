@@ -3,71 +3,75 @@
 Every version of every path is addressed by the SHA-256 of its text.  A ledger holds the pairs of blob and
 rule version that were scanned, with their findings.  A scan takes one copy of each blob, leaves out the
 pairs that the ledger has, runs the other rules, and joins old and new findings back to all paths that hold
-the blob.  Rules are regular expressions of the RE2 and Java common subset, run inside the JVM, each behind
-a literal that must occur for it to match at all.
-
-Defined results: a row without text has no blob and no findings; an empty text is a blob without findings;
-rows without a path are scanned, as their text may be another's, but not reported.  Repeated rows are one
-path and are reported once.
+the blob.  Rules are regular expressions of the RE2 and Java common subset, run inside the JVM; those with literals
+that must occur run only where one does.  Updates of a ledger at the same time may scan a pair twice; it counts once.
+
+Defined results: a row without text has no blob and no findings; an empty text is a blob without findings; texts are
+scanned whole, whatever their length; rows without a path are scanned, as their text may be another's, but not
+reported.  Repeated rows are one path and are reported once; a secret that occurs several times in a text is one
+finding with that count, under each rule that it matches.  An empty table has no findings.  Columns other than those named
+are not read, and redact returns them as they are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
+from .common import shared_folder
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A secret's pattern: group 1 is the secret.  needle: a literal, in lower case, of every match."""
+    """A secret's pattern, what stands before it, and literals one of which is in every match."""
 
     name: str
     version: int
-    pattern: str
-    needle: str
+    before: str
+    secret: str
+    needles: tuple[str, ...] = ()
 
     @property
     def key(self) -> str:
         return f"{self.name}@{self.version}"
 
+    @property
+    def pattern(self) -> str:
+        """Group 1 is the secret."""
+        return f"{self.before}({self.secret})"
+
+
+#: A value of 6 characters or more with a digit among them: by the characters before the first digit.
+_DIGITS = "|".join([*(rf"[^\s\x22',;0-9]{{{k}}}[0-9][^\s\x22',;]{{{5 - k},}}" for k in range(5)), r"[^\s\x22',;0-9]{5,}[0-9][^\s\x22',;]*"])
+_PASSWORD = r"(?i)(?:password|passwd|pwd)[\w-]{0,32}[\x22']?"
 
 RULES: tuple[Rule, ...] = (
-    Rule("aws_access_key", 1, r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", "ia"),
-    Rule("password_assignment", 1, r"(?i)\b(?:password|passwd|pwd)\s*[=:]\s*[\x22']?([^\s\x22',;]{6,})", "p"),
-    Rule("token_assignment", 1, r"(?i)\b(?:api[_-]?key|secret|token)\s*[=:]\s*[\x22']?([A-Za-z0-9_\-]{16,})", "e"),
-    Rule("github_token", 1, r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", "gh"),
-    Rule("slack_token", 1, r"\b(xox[abprs]-[A-Za-z0-9-]{10,})", "xox"),
-    Rule("google_api_key", 1, r"\b(AIza[0-9A-Za-z_\-]{35})\b", "aiza"),
-    Rule("stripe_key", 1, r"\b([rs]k_live_[0-9a-zA-Z]{24,})\b", "k_live_"),
-    Rule("json_web_token", 1, r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "eyj"),
-    Rule("private_key", 1, r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "private key-----"),
+    Rule("aws_access_key", 1, r"\b", r"(?:AKIA|ASIA)[0-9A-Z]{16}\b", ("AKIA", "ASIA")),
+    Rule("github_token", 1, r"\b", r"gh[pousr]_[A-Za-z0-9]{36,}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", 1, r"\b", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),
+    Rule("google_api_key", 1, r"\b", r"AIza[0-9A-Za-z_\-]{35}\b", ("AIza",)),
+    Rule("stripe_key", 1, r"\b", r"[rs]k_live_[0-9a-zA-Z]{24,}\b", ("k_live_",)),
+    Rule("json_web_token", 1, r"\b", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
+    # from BEGIN to END, or, where the end is missing, the lines that can be of the key
+    Rule("private_key", 2, "", r"(?s:-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:.*?-----END [A-Z ]{0,32}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*))", ("PRIVATE KEY-----",)),
+    Rule("password_assignment", 2, _PASSWORD + r"(?:\s*(?:=>|:=|=)\s*[\x22']?|\s*:\s*[\x22'])", r"[^\s\x22',;]{6,}"),
+    # behind a colon, a word of prose is no password
+    Rule("password_line", 1, _PASSWORD + r"\s*:\s*", _DIGITS),
+    Rule("token_assignment", 2, r"(?i)(?:api[_-]?key|secret|token)[\w-]{0,32}[\x22']?\s*(?:=>|:=|[=:])\s*[\x22']?", r"[A-Za-z0-9_\-]{16,}"),
 )
-#: Literals looked for in the text as it is; a rule runs only where one of its own occurs.
-NEEDLES: dict[str, tuple[str, ...]] = {
-    "aws_access_key": ("AKIA", "ASIA"),
-    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
-    "slack_token": ("xox",),
-    "google_api_key": ("AIza",),
-    "stripe_key": ("k_live_",),
-    "json_web_token": ("eyJ",),
-    "private_key": ("PRIVATE KEY-----",),
-}
 LEDGER = "blob string, rule string, secrets array<string>"
 
 
 def _found(text: Column, rule: Rule) -> Column:
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1))
-    literals = NEEDLES.get(rule.name)
-    if not literals:
+    if not rule.needles:
         return hits
-    has = F.contains(text, F.lit(literals[0]))
-    for x in literals[1:]:
-        has = has | F.contains(text, F.lit(x))
+    has = reduce(or_, (F.contains(text, F.lit(x)) for x in rule.needles))
     return F.when(has, hits).otherwise(F.array().cast("array<string>"))
 
 
@@ -84,13 +88,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     One copy of each blob travels, and copies beyond the first are dropped before the exchange already.
     """
     seen = versions(docs, path, repository).select("blob", "text")
+    one = seen.withColumn("_n", F.row_number().over(W.partitionBy("blob").orderBy("blob"))).where("_n = 1")
     if ledger is not None:
-        # blobs that all rules have seen leave before their text moves
         done = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        seen = seen.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(rules))
+        one = one.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(rules))
     else:
-        seen = seen.withColumn("done", F.array().cast("array<string>"))
-    one = seen.withColumn("_n", F.row_number().over(W.partitionBy("blob").orderBy("blob"))).where("_n = 1")
+        one = one.withColumn("done", F.array().cast("array<string>"))
     fresh = [
         F.when(F.array_contains("done", F.lit(r.key)), F.lit(None)).otherwise(F.struct(F.lit(r.key).alias("rule"), _found(F.col("text"), r).alias("secrets")))
         for r in rules
@@ -102,6 +105,7 @@ def findings(docs: DataFrame, entries: DataFrame, path: str = "doc_id", reposito
     """path, repository, blob, rule, secret and number of occurrences in each path's text."""
     hits = (
         entries.where(F.size("secrets") > 0)
+        .dropDuplicates(["blob", "rule"])
         .select("blob", F.split_part("rule", F.lit("@"), F.lit(1)).alias("rule"), F.explode("secrets").alias("secret"))
         .groupBy("blob", "rule", "secret")
         .agg(F.count("*").alias("occurrences"))
@@ -110,12 +114,16 @@ def findings(docs: DataFrame, entries: DataFrame, path: str = "doc_id", reposito
     return paths.join(hits, "blob")
 
 
+def report(found: DataFrame) -> DataFrame:
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.col("repository").alias("source"), "blob", "rule", "secret", "occurrences")
+
+
 def secret_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, source, blob, rule, secret and occurrences of all findings, old ones of the ledger included."""
     entries = scan(docs, ledger, rules)
     if ledger is not None:
         entries = entries.unionByName(ledger.where(F.col("rule").isin([r.key for r in rules])))
-    return findings(docs, entries).select(F.col("path").cast("long").alias("doc_id"), F.col("repository").alias("source"), "blob", "rule", "secret", "occurrences")
+    return report(findings(docs, entries))
 
 
 class Ledger:
@@ -126,40 +134,35 @@ class Ledger:
         self.path = path or shared_folder(spark).rstrip("/") + "/secret-ledger"
 
     def read(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
-        except AnalysisException:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scans what is new and appends it."""
+        scan(docs, self.read(), rules).write.mode("append").parquet(self.path)
 
     def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans what is new, appends it, and returns the findings of docs."""
-        old = self.read()
-        new = checkpointed(scan(docs, old, rules))
-        new.write.mode("append").parquet(self.path)
-        every = self.read().where(F.col("rule").isin([r.key for r in rules]))
-        return findings(docs, every)
+        self.add(docs, rules)
+        return findings(docs, self.read().where(F.col("rule").isin([r.key for r in rules])))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret replaced by [rule], and n_chars counted again in rows that changed.
+    """docs with every secret replaced by [rule] where it was found, and n_chars counted again in rows that changed.
 
-    Blobs are scanned once; only rows whose blob has findings are rewritten.
+    Blobs are scanned once; only rows whose blob has findings are rewritten, rule by rule.
     """
     entries = scan(docs, None, rules, path="text", repository=None)
-    dirty = entries.where(F.size("secrets") > 0).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("rule", "secrets"))).alias("hits"))
+    dirty = entries.where(F.size("secrets") > 0).groupBy("blob").agg(F.count("*").alias("hits"))
     # the row travels as one struct, so that no column of docs can clash
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(F.col("text").cast("string"), 256).alias("blob"))
     joined = whole.join(dirty, "blob", "left")
 
-    def apply(acc: Column, hit: Column) -> Column:
-        mark = F.concat(F.lit("["), F.split_part(hit["rule"], F.lit("@"), F.lit(1)), F.lit("]"))
-        longest_first = F.array_sort(hit["secrets"], lambda x, y: F.length(y) - F.length(x))
-        return F.aggregate(longest_first, acc, lambda t, s: F.replace(t, s, mark))
-
     found = F.col("hits").isNotNull()
-    out = joined.withColumn("clean", F.when(found, F.aggregate("hits", F.col("row.text").cast("string"), apply)))
+    text = reduce(lambda t, r: F.regexp_replace(t, f"({r.before})(?:{r.secret})", f"$1[{r.name}]"), rules, F.col("row.text").cast("string"))
+    out = joined.withColumn("clean", F.when(found, text))
 
     def column(c: str) -> Column:
         kept = F.col("row").getField(c)

@@ -5,12 +5,15 @@ bounded sample of labelled documents.  Labelled texts that name an identity grou
 swapped for the others of its kind, and the squared change of the score is added to the loss, so that a
 neutral mention of a group does not move the score; toxic words keep their weight.
 
-The sample's bound (max_train) and the number of features kept (max_features) limit the fit alone: every
-document, in full, is scored.  The features are those with the highest likelihood ratio in the sample.
+The sample's bound (max_train) limits the fit alone: every document, in full, is scored.  The model has all features
+that tell the classes apart in the sample: three documents or more hold them, and their log likelihood ratio is above 3
+(a chance of about 1 in 70 for one that is the same in both), and all that a swap changes.
 
 Defined results: rows without doc_id, and labels without doc_id or label, are not used in the fit; a null or
 empty text scores the bias alone, which is clean; several labels of one doc_id count as toxic if one does; a
-sample without both classes gives a model that flags nothing.
+sample without both classes, as of an empty table, gives a model that flags nothing; repeated rows are judged each for
+itself, and the first counts in the fit; texts of any length are scored whole.  Ties: equal texts have equal scores, and a
+score at the threshold is toxic.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ def extract(identities: tuple[tuple[str, ...], ...]):
     return run
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarray]], max_features: int = 2048, l2: float = 1e-3, counterfactual: float = 1.0, rounds: int = 300) -> Model:
+def fit(sets: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarray]], l2: float = 1e-3, counterfactual: float = 1.0, rounds: int = 300) -> Model:
     """Weights by accelerated gradient descent; swapped: (index of the original, features of a swapped copy)."""
     never = Model(np.zeros(0, np.uint32), np.zeros(0), -20.0, 0.5)
     if not len(y) or y.min() == y.max():
@@ -118,11 +121,11 @@ def fit(sets: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarr
     # likelihood ratio of the presence of each feature given the class
     gain = toxic * np.log(a / both) + clean * np.log(b / both) + (n1 - toxic) * np.log((1 - a) / (1 - both)) + (n0 - clean) * np.log((1 - b) / (1 - both))
     gain[toxic + clean < 3] = -1
-    chosen = np.argsort(-gain, kind="stable")[:max_features]
+    chosen = np.flatnonzero(gain > 3)
     moving = set()
     for i, f in swapped:
         moving.update(np.setxor1d(f, sets[i]).tolist())
-    chosen = np.union1d(chosen[gain[chosen] > 3], np.searchsorted(keys, np.array(sorted(moving & set(keys.tolist())), np.uint32)).astype(np.int64)) if moving else np.sort(chosen[gain[chosen] > 3])
+    chosen = np.union1d(chosen, np.searchsorted(keys, np.array(sorted(moving & set(keys.tolist())), np.uint32)).astype(np.int64)) if moving else chosen
     if not len(chosen):
         return never
     place = np.full(len(keys), -1)
@@ -169,7 +172,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((sorted_p[k] + sorted_p[k + 1]) / 2, 0.05, 0.95))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_features: int = 2048, counterfactual: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, counterfactual: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
     """A model from at most max_train labelled documents, drawn by the hash of doc_id."""
     y = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -196,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_feature
         where.setdefault(int(ids[i]), len(originals))
         originals.append(i)
     swapped = [(where[int(ids[i])], sets[i]) for i in order[pair[order] > 0]]
-    return fit([sets[i] for i in originals], np.array([wanted[int(ids[i])] for i in originals], float), swapped, max_features, counterfactual=counterfactual)
+    return fit([sets[i] for i in originals], np.array([wanted[int(ids[i])] for i in originals], float), swapped, counterfactual=counterfactual)
 
 
 def score_column(model: Model, column: pa.Array) -> np.ndarray:

@@ -331,7 +331,7 @@ def test_ledger_scans_new_pairs_alone(spark, docs, tmp_path):
     assert op3.scan(docs, book.read()).count() == 0
     more = docs.unionByName(frame(docs.sparkSession, [(900, "new password=hunter2222")]))
     assert op3.scan(more, book.read()).count() == len(op3.RULES)
-    newer = tuple(op3.Rule(r.name, 2, r.pattern, r.needle) if r.name == "aws_access_key" else r for r in op3.RULES)
+    newer = tuple(op3.Rule(r.name, 2, r.before, r.secret, r.needles) if r.name == "aws_access_key" else r for r in op3.RULES)
     again = op3.scan(docs, book.read(), newer)
     assert again.count() == len(set(TEXTS)) and {r["rule"] for r in again.collect()} == {"aws_access_key@2"}
 
@@ -345,6 +345,38 @@ def test_findings_against_re(docs):
     assert got == want and want
 
 
+FORMS = {
+    "DB_PASSWORD=hunter2222 end": "DB_PASSWORD=[password_assignment] end",
+    '{"password": "correct-horse"}': '{"password": "[password_assignment]"}',
+    "pwd: s3cretword, ok": "pwd: [password_line], ok",
+    "password: because it was lost, because we slept": None,
+    'client_secret = "abcdefabcdef1234"': 'client_secret = "[token_assignment]"',
+    "'api_key': 'ABCDEFGH_IJKLMNOP'": "'api_key': '[token_assignment]'",
+    "x -----BEGIN RSA PRIVATE KEY-----\nMIIab+/=\nZZ\n-----END RSA PRIVATE KEY----- y": "x [private_key] y",
+    "a -----BEGIN PRIVATE KEY-----\nMIIab+/=\n": "a [private_key]",
+    "password=because, and because": "password=[password_assignment], and because",
+    f"{SECRET} x{SECRET} {SECRET}": f"[aws_access_key] x{SECRET} [aws_access_key]",
+}
+
+
+def test_redaction_by_place_and_forms_of_secrets(spark):
+    t = frame(spark, list(enumerate(FORMS)))
+    got = {r["doc_id"]: r for r in op3.redact(t).collect()}
+    for i, (text, want) in enumerate(FORMS.items()):
+        assert got[i]["text"] == (want or text) and got[i]["n_chars"] == len(want or text)
+    found = {r["doc_id"] for r in op3.secret_findings(t).collect()}
+    assert found == {i for i, want in enumerate(FORMS.values()) if want}
+
+
+def test_two_updates_at_once_count_once(spark, docs, tmp_path):
+    book = op3.Ledger(spark, str(tmp_path / "ledger"))
+    pairs = op3.scan(docs, book.read())
+    book.add(docs)
+    pairs.write.mode("append").parquet(book.path)  # another update that began before the first had written
+    once = sorted(map(tuple, op3.secret_findings(docs).collect()))
+    assert sorted(map(tuple, op3.report(book.update(docs)).collect())) == once and once
+
+
 # n-gram Jaccard
 
 
@@ -581,6 +613,31 @@ def test_held_out_accuracy_and_counterfactual_effect():
     assert a[0] - a[2] > 0.5 and b[0] - b[2] < (a[0] - a[2]) / 2
 
 
+def test_fit_and_scores_by_hand(docs, labels):
+    texts = ["vile a b", "vile c d", "vile e f", "good a b", "good c d", "good e f", "g a", "g b"] * 5
+    y = np.array([1, 1, 1, 0, 0, 0, 0, 0] * 5, float)
+    sets = op9._text_features(texts)
+    model = op9.fit(sets, y, [])
+    held, n1, n0 = Counter(x for s in sets for x in s.tolist()), y.sum(), len(y) - y.sum()
+    chosen = []
+    for f, n in held.items():
+        t = sum(b for s, b in zip(sets, y) if f in s)
+        c = n - t
+        a, b, m = (t + 0.1) / (n1 + 0.2), (c + 0.1) / (n0 + 0.2), (n + 0.2) / (n1 + n0 + 0.4)
+        if n >= 3 and t * np.log(a / m) + c * np.log(b / m) + (n1 - t) * np.log((1 - a) / (1 - m)) + (n0 - c) * np.log((1 - b) / (1 - m)) > 3:
+            chosen.append(f)
+    assert model.keys.tolist() == sorted(chosen)
+    # the loss is convex: its gradient is near zero at the weights found
+    x = np.array([[f in s for f in model.keys.tolist()] for s in sets], float)
+    p = 1 / (1 + np.exp(-(x @ model.weights + model.bias)))
+    assert np.abs(x.T @ (p - y) / len(y) + 1e-4 * model.weights).max() < 5e-3
+    got = op9.score_column(model, pa.array([*texts, None, ""]))
+    assert np.allclose(got[: len(y)], p) and np.allclose(got[len(y) :], 1 / (1 + np.exp(-model.bias)))
+    rows = op9.toxicity(frame(docs.sparkSession, list(enumerate(texts))), model).collect()
+    assert {r["doc_id"]: (r["toxicity"], r["toxic"]) for r in rows} == {i: (round(v, 6), bool(v >= model.threshold)) for i, v in enumerate(p)}
+    assert all(r["toxic"] == bool(y[r["doc_id"]]) for r in rows)
+
+
 def test_swaps():
     assert op9.swaps("The women sang") == ["The men sang", "The girls sang", "The boys sang"]
     assert op9.swaps("nobody here") == []
