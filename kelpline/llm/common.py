@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that a lost executor costs nothing.
-
-    The shuffle files that led to it are dropped at once.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Queries begun within drop their shuffle files when they end; for those that write their result to the shared folder."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so that a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
+    with cleaning(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Has Spark's cleaner drop the checkpoint files of frames that nothing refers to any more.
 

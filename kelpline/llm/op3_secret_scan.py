@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import cleaning, shared_folder
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,8 @@ class Ledger:
 
     def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scans what is new and appends it."""
-        scan(docs, self.read(), rules).write.mode("append").parquet(self.path)
+        with cleaning(self.spark):
+            scan(docs, self.read(), rules).select("*").write.mode("append").parquet(self.path)
 
     def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans what is new, appends it, and returns the findings of docs."""
