@@ -43,7 +43,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("print", pa.int
 SETS_SQL = "doc_id long, size int, print long, keys binary"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Grams held before a task sends them off.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Sets of a component that meet at once.
 BLOCK = 2000
 

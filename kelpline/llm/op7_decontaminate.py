@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from .common import batches, rows, with_id
 from .fm_index import FMIndex
 from .textkit import WORD_PATTERN, group_starts, words
 
-SHARD = 1_500_000
+SHARD = 750_000
 MAX_PHRASES = 2_000_000
 _WORD = re.compile(WORD_PATTERN)
 
@@ -247,15 +248,13 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases:
             if spans or several:
                 columns, fields = list(batch.columns[:width]), list(batch.schema)[:width]
                 if spans:
-                    text = columns[where].to_pylist()
-                    for r, s in spans.items():
-                        text[r] = cut(text[r], s)
-                    columns[where] = pa.array(text, columns[where].type)
+                    own = np.array(sorted(spans))
+                    text = [cut(columns[where][r].as_py(), spans[r]) for r in own.tolist()]
+                    mask = np.zeros(batch.num_rows, bool)
+                    mask[own] = True
+                    columns[where] = pc.replace_with_mask(columns[where], pa.array(mask), pa.array(text, columns[where].type))
                     if count >= 0:
-                        chars = columns[count].to_pylist()
-                        for r in spans:
-                            chars[r] = len(text[r])
-                        columns[count] = pa.array(chars, columns[count].type)
+                        columns[count] = pc.replace_with_mask(columns[count], pa.array(mask), pa.array([len(t) for t in text], columns[count].type))
                 batch = pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
             yield batch
 

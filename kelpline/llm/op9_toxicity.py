@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, rows, with_id
-from .textkit import words
+from .textkit import group_starts, words
 
 U64 = np.uint64
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -111,27 +111,39 @@ def fit(sets: list[np.ndarray], y: np.ndarray, swapped: list[tuple[int, np.ndarr
     never = Model(np.zeros(0, np.uint32), np.zeros(0), -20.0, 0.5)
     if not len(y) or y.min() == y.max():
         return never
-    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keys, index = np.unique(flat, return_inverse=True)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    moving = [np.setxor1d(f, sets[i]) for i, f in swapped]
+    moving = np.unique(np.concatenate(moving)) if moving else np.zeros(0, np.uint32)
+    ordered = np.sort(flat)
+    at = group_starts(ordered)
+    ordered, held = ordered[at[:-1]], np.diff(at)
+    keys = ordered[(held >= 3) | np.isin(ordered, moving, assume_unique=True)]
+    del ordered, held, at
+    if not len(keys):
+        return never
+    index = np.empty(len(flat), np.int32)
+    for lo in range(0, len(flat), 1 << 20):
+        index[lo : lo + (1 << 20)] = np.minimum(np.searchsorted(keys, flat[lo : lo + (1 << 20)]), len(keys) - 1)
+    known = keys[index] == flat
+    index, who = index[known], who[known]
+    del flat, known
     n1, n0 = y.sum(), (1 - y).sum()
-    toxic = np.bincount(index, weights=y[who], minlength=len(keys))
+    toxic = np.bincount(index[y[who] > 0], minlength=len(keys))
     clean = np.bincount(index, minlength=len(keys)) - toxic
     a, b = (toxic + 0.1) / (n1 + 0.2), (clean + 0.1) / (n0 + 0.2)
     both = (toxic + clean + 0.2) / (n1 + n0 + 0.4)
     # likelihood ratio of the presence of each feature given the class
     gain = toxic * np.log(a / both) + clean * np.log(b / both) + (n1 - toxic) * np.log((1 - a) / (1 - both)) + (n0 - clean) * np.log((1 - b) / (1 - both))
     gain[toxic + clean < 3] = -1
-    chosen = np.flatnonzero(gain > 3)
-    moving = set()
-    for i, f in swapped:
-        moving.update(np.setxor1d(f, sets[i]).tolist())
-    chosen = np.union1d(chosen, np.searchsorted(keys, np.array(sorted(moving & set(keys.tolist())), np.uint32)).astype(np.int64)) if moving else chosen
+    chosen = np.flatnonzero((gain > 3) | np.isin(keys, moving, assume_unique=True))
     if not len(chosen):
         return never
     place = np.full(len(keys), -1)
     place[chosen] = np.arange(len(chosen))
-    at, n, m = place[index], len(sets), len(chosen)
-    row, col = who[at >= 0], at[at >= 0]
+    n, m = len(sets), len(chosen)
+    own = place[index] >= 0
+    row, col = who[own], place[index[own]]
+    del index, who, own
     mean = len(row) / n
     # changes of the swapped copies against their originals, as a sparse matrix of +1 and -1
     names = keys[chosen]
