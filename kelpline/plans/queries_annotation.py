@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -59,13 +60,19 @@ def standoff_sentences(spark, sf_dir):
     return so.sentence_spans(docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text"))
 
 
-SPAN = "sp AS (SELECT doc_id AS doc, unnest([(doc_id * 7) % 40, 20, 60 + doc_id % 10]) AS b, unnest([(doc_id * 7) % 40 + 15, 45, 90]) AS e FROM documents WHERE length(text) > 100)"
+LINES = "la AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), lb AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p0 FROM la)"
+SPAN = f"{LINES}, sp AS (SELECT doc, unnest([p0, p0 + length(line) // 4]) AS b, unnest([p0 + (length(line) + 1) // 2, p0 + length(line) // 2 + 1]) AS e FROM lb WHERE line <> '')"
 
 
 def spans(spark, sf_dir):
-    base = docs(spark, sf_dir).where(F.length("text") > 100)
-    a = F.array(F.struct(((F.col("doc_id") * 7) % 40).alias("begin"), ((F.col("doc_id") * 7) % 40 + 15).alias("end")), F.struct(F.lit(20).cast("long").alias("begin"), F.lit(45).cast("long").alias("end")), F.struct((60 + F.col("doc_id") % 10).alias("begin"), F.lit(90).cast("long").alias("end")))
-    return base.select(F.col("doc_id").alias("doc"), F.posexplode(a).alias("seq", "s")).select("doc", "seq", "s.begin", "s.end", F.lit("np").alias("tag"))
+    """Two spans in every line of every text, which meet but in the shortest lines; they come by their ends."""
+    lines = so.sentence_spans(docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")).withColumn("n", F.col("end") - F.col("begin"))
+    two = F.array(
+        F.struct(F.col("begin"), (F.col("begin") + F.floor((F.col("n") + 1) / 2)).alias("end")),
+        F.struct((F.col("begin") + F.floor(F.col("n") / 4)).alias("begin"), (F.col("begin") + F.floor(F.col("n") / 2) + 1).alias("end")),
+    )
+    out = lines.select("doc", F.explode(two).alias("s")).select("doc", "s.begin", "s.end", F.lit("np").alias("tag"))
+    return out.withColumn("seq", F.row_number().over(W.partitionBy("doc").orderBy("end", "begin")))
 
 
 ISLE = f"""{SPAN}, fl AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY doc ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp),
@@ -82,17 +89,25 @@ def standoff_sort(spark, sf_dir):
     return so.ordered(spans(spark, sf_dir), ["np"]).select("doc", "begin", "end", "seq")
 
 
-@register("standoff_verify", f"WITH {SPAN} SELECT 0::BIGINT AS broken")
+@register("standoff_verify", f"""WITH {SPAN}, sq AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY e, b) AS seq FROM sp), st AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY b, e DESC) AS seq FROM sp),
+pr AS (SELECT 'by_end' AS spans, b, e, lag(b) OVER w AS pb, lag(e) OVER w AS pe FROM sq WINDOW w AS (PARTITION BY doc ORDER BY seq) UNION ALL SELECT 'sorted', b, e, lag(b) OVER w, lag(e) OVER w FROM st WINDOW w AS (PARTITION BY doc ORDER BY seq))
+SELECT spans, count(*) FILTER (WHERE b < pb OR b = pb AND e > pe) AS broken FROM pr GROUP BY spans""")
 def standoff_verify(spark, sf_dir):
-    return so.violations(so.ordered(spans(spark, sf_dir), ["np"])).agg(F.count("*").alias("broken"))
+    """Spans that stand wrong, as they come and after sorting."""
+    s = spans(spark, sf_dir)
+    count = lambda x, name: so.violations(x).agg(F.count("*").alias("broken")).select(F.lit(name).alias("spans"), "broken")
+    return count(s, "by_end").union(count(so.ordered(s, ["np"]), "sorted"))
 
 
-@register("standoff_embed", f"""WITH {ISLE}, mp AS (SELECT doc, b, e, coalesce(sum(e - b + 1) OVER (PARTITION BY doc ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ofs FROM rg)
-SELECT doc, arg_max(b + 5 - ofs, ofs) FILTER (WHERE ofs <= 5) AS begin, arg_min(b + 30 - ofs, ofs) FILTER (WHERE ofs + e - b >= 30) AS "end" FROM mp GROUP BY doc""")
+@register("standoff_embed", f"""WITH {ISLE}, mp AS (SELECT doc, b, e, coalesce(sum(e - b + 1) OVER (PARTITION BY doc ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ofs FROM rg),
+inn AS (SELECT doc, ofs + (e - b) // 2 AS x, ofs + (e - b) // 2 + 5 AS y FROM mp)
+SELECT doc, arg_max(x + b - ofs, ofs) FILTER (WHERE ofs <= x) AS begin, arg_min(y + b - ofs, ofs) FILTER (WHERE ofs + e - b >= y) AS "end" FROM inn JOIN mp USING (doc) GROUP BY doc, x, y""")
 def standoff_embed(spark, sf_dir):
-    s = spans(spark, sf_dir)
-    inner = s.select("doc").distinct().select("doc", F.lit(5).alias("begin"), F.lit(30).alias("end"), F.lit("x").alias("tag"), F.lit(None).cast("map<string,string>").alias("attrs"))
-    return so.embed(inner, so.clip_map(s)).select("doc", "begin", "end")
+    """Spans of the clipped text from the middle of each region on, many of them into the next one."""
+    mapped = so.clip_map(spans(spark, sf_dir))
+    x = F.col("at") + F.floor((F.col("end") - F.col("begin")) / 2)
+    inner = mapped.select("doc", x.alias("begin"), (x + 5).alias("end"), F.lit("x").alias("tag"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    return so.embed(inner, mapped).select("doc", "begin", "end")
 
 
 @register("language_query", top_sql(f"SELECT a.doc, a.s + b.s AS score FROM {leaf_sql('worthless')} a JOIN {leaf_sql('trash')} b USING (doc)"))
@@ -102,9 +117,9 @@ def language_query(spark, sf_dir):
     return top(hits(o, tree))
 
 
-@register("functions_readings", f"WITH {OCC} SELECT DISTINCT term AS plain, length(term) AS n FROM o WHERE length(term) = 4")
+@register("functions_readings", f"WITH {OCC} SELECT DISTINCT term AS plain, length(term) AS n FROM o")
 def functions_readings(spark, sf_dir):
-    o = ix.word_occurrences(docs(spark, sf_dir)).where(F.length("term") == 4)
+    o = ix.word_occurrences(docs(spark, sf_dir)).select("term").distinct()
     marked = F.concat("term", F.lit("/x"))
     return o.select(tx.strip_readings(marked).alias("plain"), F.length(tx.strip_all_readings(marked)).alias("n")).distinct()
 

@@ -150,9 +150,9 @@ def kwic(spark, sf_dir):
     return sn.kwic(docs(spark, sf_dir), ["of", "*", "the"])
 
 
-@register("kwic_by_left", f"WITH {KWIC} ORDER BY reverse(\"left\"), doc, pos LIMIT 40")
+@register("kwic_by_left", f"WITH {KWIC} ORDER BY reverse(\"left\"), doc, pos")
 def kwic_left(spark, sf_dir):
-    return sn.sort_kwic(sn.kwic(docs(spark, sf_dir), ["of", "*", "the"]), by_left=True).limit(40)
+    return sn.sort_kwic(sn.kwic(docs(spark, sf_dir), ["of", "*", "the"]), by_left=True)
 
 
 # pages and links
@@ -251,12 +251,14 @@ def place_range(spark, sf_dir):
     return mt.host_of(sids(spark, sf_dir), spark.createDataFrame(BOUNDS, "upper string, host string"))
 
 
-@register("place_rebalance", f"""WITH o AS (SELECT {SID} AS sid, 'h' || (doc_id % 3) AS source FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT {SID} AS sid, 'h' || (doc_id % 4) AS target FROM documents WHERE doc_id % 7 <> 0)
+@register("place_rebalance", f"""WITH o AS (SELECT {SID} AS sid, 'h' || (doc_id % 3) AS source FROM documents WHERE lang <> 'fr'), n AS (SELECT {SID} AS sid, 'h' || (doc_id % 4) AS target FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
 SELECT * FROM (SELECT sid, CASE WHEN source IS NULL THEN 'copy' WHEN target IS NULL THEN 'delete' WHEN source <> target THEN 'move' END AS action, source, target FROM o FULL JOIN n USING (sid)) WHERE action IS NOT NULL""")
 def place_rebalance(spark, sf_dir):
-    d = sids(spark, sf_dir)
-    old = d.where("doc_id % 5 <> 0").select("sid", F.concat(F.lit("h"), F.col("doc_id") % 3).alias("host"))
-    new = d.where("doc_id % 7 <> 0").select("sid", F.concat(F.lit("h"), F.col("doc_id") % 4).alias("host"))
+    """A new language comes in, documents labelled toxic go, and there are four hosts in place of three."""
+    d = docs(spark, sf_dir).select(tx.pad_sid(F.col("doc_id")).alias("sid"), "doc_id", "lang")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    old = d.where("lang <> 'fr'").select("sid", F.concat(F.lit("h"), F.col("doc_id") % 3).alias("host"))
+    new = d.join(toxic, "doc_id", "left_anti").select("sid", F.concat(F.lit("h"), F.col("doc_id") % 4).alias("host"))
     return mt.rebalance(old, new)
 
 
@@ -288,12 +290,11 @@ def ids_remap(spark, sf_dir):
     return mt.remap(lab, ix.dense_ids(sids(spark, sf_dir).select("sid")))
 
 
-@register("tombstones_update", "SELECT DISTINCT page_id AS sid FROM pages WHERE page_id % 3 = 0 OR page_id < 10")
+@register("tombstones_update", "SELECT DISTINCT page_id AS sid FROM pages WHERE url IN (SELECT url FROM pages WHERE length(html) < 3000) OR contains(html, 'lang=\"de\"')")
 def tombstones_update(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("sid"), "url")
-    urls = p.where("sid % 3 = 0").select("url")
-    by_url = p.groupBy("url").agg(F.collect_set("sid").alias("s")).select("url", F.explode("s").alias("sid"))
-    return mt.update_tombstones(urls, by_url.where("sid % 3 = 0"), p.where("sid < 10").select("sid"))
+    """The urls of thin pages are removed, wherever they occur; pages in one language were before."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("sid"), "url", F.length("html").alias("n"), F.contains("html", F.lit('lang="de"')).alias("before"))
+    return mt.update_tombstones(p.where("n < 3000").select("url"), p.select("url", "sid"), p.where("before").select("sid"))
 
 
 @register("stream_islands", "SELECT conv_id, turn, sum(c) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (SELECT conv_id, turn, CASE WHEN lag(role) OVER (ORDER BY conv_id, turn) IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS c FROM conversations)")

@@ -32,8 +32,8 @@ def assign_ids(files: DataFrame, per_folder: int = 10_000) -> DataFrame:
     return n.select("path", F.concat(F.lpad(F.floor(F.col("tid") / per_folder).cast("string"), 6, "0"), F.lpad((F.col("tid") % per_folder).cast("string"), 4, "0")).alias("sid"))
 
 
-def unzip(files: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Members of zip archives (columns path, content): path, member, html; only .html files, at most `limit` each."""
+def unzip(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Members of zip archives (columns path, content): path, member, html; only .html files, all of them or the first `limit` each."""
     import io
     import zipfile
 

@@ -55,7 +55,13 @@ def test_other_term_readers(spark):
 def test_dependency_rewrites(spark):
     e = spark.createDataFrame([("1", 1, "c0", "c1", "P"), ("1", 1, "c1", "c2", "P"), ("1", 1, "c2", "c3", "D"), ("1", 1, "c3", "", "D")], "doc string, sid int, chunk string, head string, kind string")
     assert {(r["chunk"], r["head"]) for r in ex.coordinated(e).collect()} == {("c0", "c3"), ("c1", "c3"), ("c2", "c3"), ("c3", "")}
-    assert {(r["chunk"], r["head"], r["steps"]) for r in ex.transitive(spark, e).collect()} >= {("c0", "c3", 3), ("c1", "c2", 1)}
+    assert {(r["chunk"], r["head"], r["steps"]) for r in ex.transitive(e).collect()} >= {("c0", "c3", 3), ("c1", "c2", 1)}
+    assert ex.transitive(e).count() == 6
+    chain = spark.createDataFrame([("1", 1, f"c{i}", f"c{i + 1}" if i < 40 else "", "P") for i in range(41)], "doc string, sid int, chunk string, head string, kind string")
+    assert {r["head"] for r in ex.coordinated(chain).where("head <> ''").collect()} == {"c40"}
+    assert ex.transitive(chain).agg({"steps": "max"}).first()[0] == 40 and ex.transitive(chain).count() == 40 * 41 // 2
+    deep = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "node string, head string")
+    assert {r["head"] for r in ex.closure(deep).collect()} == {"n70"}
     h = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "t")], "node string, head string")
     assert {(r["node"], r["head"]) for r in ex.closure(h).collect()} == {("p", "t"), ("q", "t"), ("r", "t")}
 
