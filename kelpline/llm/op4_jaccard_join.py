@@ -6,8 +6,10 @@
    u of them unique, a partner at threshold t shares at least ceil(t*s) grams, so one of the first
    s - ceil(t*s) + 1 grams.  Documents with fewer shared grams than ceil(t*s) leave at once.
 3. Equal sets are one class of copies, and the least doc_id stands for it; a task sends the prefix of such a set once.
-   Sets that share a gram of these prefixes, at lengths within a factor t, are linked; the connected components of
-   the links hold every pair of the join.
+   Sets that share a gram of these prefixes, at lengths within a factor t, are linked if they can share enough:
+   bits of their grams' hashes that only one of two sets has are grams only one of them has.  The connected
+   components of the links hold every pair of the join.  Most of a long list of a gram are often near copies of each
+   other; they are linked in a chain, and so are lists beyond LONGEST.
 4. The sets of a component, in blocks of at most some BLOCK sets whose pairs are tasks of their own, form a
    path-compressed trie.  Walking down it, the overlaps of the path with the sets that can still be partners are
    kept once per shared prefix; a subtree is left as soon as overlap so far plus the remaining length cannot
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, connected_components, id_hash, local_components, partitions, rows, split_by, to_buckets, with_id
+from .common import all_pairs, batches, checkpointed, connected_components, id_hash, local_components, partitions, rows, split_by, to_buckets, unpack, with_id
 from .textkit import group_starts, mix, ngrams, words
 
 U64 = np.uint64
@@ -41,11 +43,17 @@ GRAMS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.bina
 GRAMS_SQL = "bucket int, kind int, ids binary, counts binary, low binary, high binary"
 SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("keys", pa.binary())])
 SETS_SQL = "doc_id long, size int, print long, keys binary"
+POSTED = ("ids", "sizes", "shared", "marks", "counts", "keys")
+POSTED_SQL = "bucket int, ids binary, sizes binary, shared binary, marks binary, counts binary, keys binary"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Grams held before a task sends them off.
 CHUNK = 1_500_000
 #: Sets of a component that meet at once.
 BLOCK = 2000
+#: Lists of a prefix gram up to LIST sets are compared pair by pair, up to LONGEST unless most neighbours are alike.
+LIST, LONGEST = 32, 4096
+#: Pairs and links that a task holds at once.
+PAIRS_HELD, LINKS_HELD = 500_000, 2_000_000
 
 
 def need(size: int | np.ndarray, t: float):
@@ -244,41 +252,80 @@ def prefix_postings(t: float, parts: int):
             batch = batch.take(pa.array(first))
             ids, size = batch.column("doc_id").to_numpy(), batch.column("size").to_numpy().astype(np.int64)
             keys = [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-            take = size - need(size, t) + 1 - (size - np.array([len(k) for k in keys]))
+            lens = np.array([len(k) for k in keys])
+            take = size - need(size, t) + 1 - (size - lens)
             part = [k[: max(0, c)] for k, c in zip(keys, take.tolist())]
-            lens = np.array([len(p) for p in part])
-            key, who = np.concatenate(part), np.repeat(np.arange(len(part)), lens)
+            mark = marks_of(np.concatenate(keys), np.repeat(np.arange(len(keys)), lens), len(keys))
+            key, who = np.concatenate(part), np.repeat(np.arange(len(part)), [len(p) for p in part])
             order, at = split_by(id_hash(key.view(np.int64)) % U64(parts), parts)
-            out = {"bucket": [], "ids": [], "sizes": [], "keys": []}
+            out = {"bucket": [], **{k: [] for k in POSTED}}
             for b in np.flatnonzero(np.diff(at)):
                 own = order[at[b] : at[b + 1]]
-                out["bucket"].append(int(b)), out["ids"].append(ids[who[own]].tobytes())
-                out["sizes"].append(size[who[own]].astype(np.int32).tobytes()), out["keys"].append(key[own].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("ids", "sizes", "keys"))], names=["bucket", "ids", "sizes", "keys"])
+                first = group_starts(who[own])
+                one = who[own[first[:-1]]]
+                out["bucket"].append(int(b)), out["ids"].append(ids[one].tobytes()), out["sizes"].append(size[one].astype(np.int32).tobytes())
+                out["shared"].append(lens[one].astype(np.int32).tobytes()), out["marks"].append(mark[one].tobytes())
+                out["counts"].append(np.diff(first).astype(np.int32).tobytes()), out["keys"].append(key[own].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in POSTED)], names=["bucket", *POSTED])
 
     return run
 
 
+def marks_of(key: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
+    """128 bits for each of n sets, each gram of a set at the bit of its hash."""
+    out = np.zeros((n, 2), U64)
+    bit = id_hash(key.view(np.int64)) >> U64(57)
+    np.bitwise_or.at(out, (who, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return out
+
+
 def link(t: float):
-    """A bucket of prefix grams: a spanning forest of the documents that share one at lengths within a factor t."""
+    """A bucket of prefix grams: a spanning forest of the documents that share one and may reach t."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys = [], [], []
+        got: list[list] = [[] for _ in POSTED]
         for batch in batches(it):
-            ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
-            sizes += [np.frombuffer(x, np.int32) for x in batch.column("sizes").to_pylist()]
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-        if not ids:
+            for g, name, kind in zip(got, POSTED, (np.int64, np.int32, np.int32, np.uint64, np.int32, np.uint64)):
+                g.append(unpack(batch.column(name), kind))
+        if not got[0]:
             return
-        ids, sizes, keys = np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(keys)
-        order = np.lexsort((ids, sizes, keys))
-        ids, sizes, keys = ids[order], sizes[order], keys[order]
-        near = (keys[1:] == keys[:-1]) & (sizes[:-1] >= need(sizes[1:], t))
-        nodes, index = np.unique(ids, return_inverse=True)
-        label = local_components(len(nodes), index[:-1][near], index[1:][near])
-        linked = np.flatnonzero(label != np.arange(len(nodes)))
-        if len(linked):
-            yield rows(LINKS, a=nodes[linked], b=nodes[label[linked]])
+        ids, sizes, shared, marks, counts, keys = map(np.concatenate, got)
+        sizes, shared, marks = sizes.astype(np.int64), shared.astype(np.int64), marks.reshape(-1, 2)
+        nodes, node = np.unique(ids, return_inverse=True)
+        who = np.repeat(np.arange(len(ids)), counts)
+        order = np.lexsort((ids[who], sizes[who], keys))
+        who, keys = who[order], keys[order]
+
+        def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether sets a may reach t with the sets b, which are as large at least."""
+            out = sizes[a] >= need(sizes[b], t)
+            differ = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64)
+            return out & ((shared[a] + shared[b] - differ) // 2 >= np.ceil(t / (1 + t) * (sizes[a] + sizes[b]) - 1e-9))
+
+        starts = group_starts(keys)
+        size = np.diff(starts)
+        same = keys[1:] == keys[:-1]
+        alike = np.add.reduceat(np.append(same & able(who[:-1], who[1:]), False).astype(np.int64), starts[:-1])
+        chained = (size > LIST) & (2 * alike >= size) | (size > LONGEST)
+        chain = same & np.repeat(chained, size)[1:] & (sizes[who[:-1]] >= need(sizes[who[1:]], t))
+        held, n = [(node[who[:-1][chain]], node[who[1:][chain]])], int(chain.sum())
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            label = local_components(len(nodes), *map(np.concatenate, zip(*held)))
+            linked = np.flatnonzero(label != np.arange(len(nodes)))
+            return linked, label[linked]
+
+        for a, b in all_pairs(starts[:-1][~chained], size[~chained], PAIRS_HELD):
+            a, b = who[a], who[b]
+            live = able(a, b)
+            held.append((node[a[live]], node[b[live]]))
+            n += int(live.sum())
+            if n > LINKS_HELD + len(held[0][0]):
+                held = [stars()]
+                n = len(held[0][0])
+        a, b = stars()
+        if len(a):
+            yield rows(LINKS, a=nodes[a], b=nodes[b])
 
     return run
 
@@ -423,7 +470,7 @@ def _units(docs: DataFrame, n: int, threshold: float, block: int) -> tuple[DataF
     back = to_buckets(grams.mapInArrow(count_documents(parts), GRAMS_SQL), parts)
     sets = checkpointed(back.mapInArrow(gather(threshold), SETS_SQL))
     copies = sets.groupBy("print", "size").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"))
-    posted = to_buckets(sets.mapInArrow(prefix_postings(threshold, parts), "bucket int, ids binary, sizes binary, keys binary"), parts)
+    posted = to_buckets(sets.mapInArrow(prefix_postings(threshold, parts), POSTED_SQL), parts)
     labels = connected_components(posted.mapInArrow(link(threshold), "a long, b long"))
     # the least doc_id of a class is the least of its task as well, so it has a label if the class has one
     heads = checkpointed(copies.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id").select("set_id", "component"))

@@ -407,6 +407,27 @@ def test_links_and_classes_against_all_pairs(docs, block):
         assert kept == {i for i, s in enumerate(sets) if least[head[s]] == i}
 
 
+def test_unlike_texts_that_share_rare_grams_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    phrases = [" ".join("p%dw%d" % (i, k) for k in range(6)) for i in range(400)]
+    texts = [" ".join(phrases[x] for x in rng.choice(400, 6, replace=False)) for _ in range(300)]
+    texts += [texts[0] + " more"] + [" ".join(phrases[:5]) + " tail%d" % i for i in range(50)]  # a copy, and a family
+    docs = frame(spark, list(enumerate(texts)))
+    sets = [set(zip(*(split(t)[k:] for k in range(3)))) for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert len(want) >= 1 + 50 * 49 // 2
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in op4.jaccard_pairs(docs).collect()} == want
+    meet = {r["doc_id"] for r in op4._units(docs, 3, 0.5, 2000)[2].select("doc_id").collect()}
+    assert {x for p in want for x in p} <= meet and len(meet) < 100
+    # long lists, chained or not, and few links at a time lose nothing
+    parts = op4._units(docs, 3, 0.5, 2000)[0].select("doc_id", "size", "print", "keys").toArrow().to_batches()
+    for most, longest in ((1, 4096), (1, 2), (10_000, 10_000)):
+        monkeypatch.setattr(op4, "LIST", most), monkeypatch.setattr(op4, "LONGEST", longest), monkeypatch.setattr(op4, "LINKS_HELD", 10), monkeypatch.setattr(op4, "PAIRS_HELD", 50)
+        got = pa.Table.from_batches(op4.link(0.5)(op4.prefix_postings(0.5, 1)(iter(parts))))
+        label = op4.local_components(len(texts), got["a"].to_numpy(), got["b"].to_numpy())
+        assert all(label[a] == label[b] for a, b in want)
+
+
 @pytest.mark.parametrize("t", [0.3, 0.8])
 def test_trie_join_of_random_sets(t):
     rng = np.random.default_rng(int(t * 10))
