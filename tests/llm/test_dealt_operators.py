@@ -156,6 +156,44 @@ def test_hot_copies_keys_and_clusters_are_cut_and_whole(spark):
     assert exact.keys() == some.keys() and sum(map(sum, some.values())) > 0.9 * sum(map(sum, exact.values()))
 
 
+def test_large_groups_lose_no_partner(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = ["all " + " ".join(rng.choice(["t%d" % i for i in range(14)], rng.integers(1, 9), replace=False)) for _ in range(400)]
+    base = list(rng.choice(VOCABULARY, 50))
+    for i in range(200):  # near copies, and texts with hardly a word in common
+        w = list(base)
+        w[i % 50] = "n%d" % (i % 7)
+        texts.append(" ".join(w) + " end%d" % (i // 50))
+    docs = frame(spark, list(enumerate(texts)))
+    near = {i: v for i, v in packed_by_hand(texts, 4, 64)[0].items() if v}
+    for meet, members in ((128, 1_000_000), (2, 50)):
+        monkeypatch.setattr(op1, "MEET", meet), monkeypatch.setattr(op1, "MEMBERS", members), monkeypatch.setattr(op1, "FIRST", 4)
+        held = _buckets_of_keys(texts)
+        got = {}
+        found = pa.Table.from_batches(list(op1.nearest_of_all(5)(op1.closest(1, 5, 8)(iter(held)))))
+        for r in found.to_pylist():
+            got[r["doc_id"]] = list(zip(r["near"], r["shared"]))
+        assert got == near
+    exact = {r["doc_id"]: (r["near"], r["shared"]) for r in op1.knn_graph(docs, group=10_000)[2].collect()}
+    assert {r["doc_id"]: (r["near"], r["shared"]) for r in op1.knn_graph(docs, group=8)[2].collect()} == exact
+    assert {i: list(zip(*v)) for i, v in exact.items()} == near
+
+
+def _buckets_of_keys(texts):
+    """The nodes of distinct texts with their keys, all in one bucket."""
+    rows = []
+    for block in op1.to_blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])])):
+        x = block.to_pylist()[0]
+        _, first = np.unique(np.frombuffer(x["texts"], np.int64), return_index=True)
+        x |= {"places": first.tolist(), "names": None}
+        _, _, token, names = op1.nodes_of(x)
+        back = {"block": x["block"], "bucket": 0, "names": b"", "counts": op1.squeeze(np.bincount(token, minlength=len(names)))}
+        fields = [("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("places", pa.list_(pa.int32())), ("bucket", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())]
+        merged = pa.RecordBatch.from_pylist([{k: v for k, v in (x | {"counts": None}).items() if k in dict(fields)}, back], schema=pa.schema(fields))
+        rows += op1.keyed(1, len(first))(iter([merged]))
+    return rows
+
+
 def test_windows_hold_every_word_once_and_are_full(docs):
     pieces = op1.pack(docs, window=200).toPandas()
     for i, t in enumerate(TEXTS):
