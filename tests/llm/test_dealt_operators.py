@@ -179,6 +179,32 @@ def test_large_groups_lose_no_partner(spark, monkeypatch):
     assert {i: list(zip(*v)) for i, v in exact.items()} == near
 
 
+def test_all_shared_words_find_partners(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    # 0 and 1 share 20 words that four texts more hold, and each has 13 rarer ones that it shares with a text alone
+    common = ["c%d" % i for i in range(20)]
+    texts = [" ".join([*common, *("%s%d" % (x, i) for i in range(13))]) for x in "ab"]
+    texts += ["%s%d pair%s%d" % (x, i, x, i) for x in "ab" for i in range(13)]
+    texts += [" ".join(common[i : i + 10]) + " t%d" % (i % 5) for i in range(11) for _ in (0, 1)]
+    texts += [" ".join(rng.choice(["w%d" % i for i in range(60)], rng.integers(1, 40), replace=False)) for _ in range(120)]
+    own = {tuple(split(t)): i for i, t in reversed(list(enumerate(texts)))}
+    df = Counter(x for w in own for x in set(w))
+    weight = {x: max(1, round(1024 * np.log((len(own) + 1) / n))) for x, n in df.items() if n > 1}
+    near = {}
+    for w, i in own.items():
+        shared = ((-sum(weight.get(x, 0) for x in set(w) & set(v)), j) for v, j in own.items() if j != i)
+        near[i] = [(j, -s) for s, j in sorted(shared) if s][:5]
+    assert near[0][0][0] == 1 and near[1][0][0] == 0
+    near = {i: v for i, v in near.items() if v}
+    docs = frame(spark, list(enumerate(texts))).repartition(3)
+    for group in (10_000, 40):
+        assert {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in op1.knn_graph(docs, group=group)[2].collect()} == near
+    for meet, first, members in ((0, 64, 1000), (4, 5, 1), (30, 1, 100_000)):
+        monkeypatch.setattr(op1, "MEET", meet), monkeypatch.setattr(op1, "FIRST", first), monkeypatch.setattr(op1, "MEMBERS", members)
+        found = pa.Table.from_batches(list(op1.nearest_of_all(5)(op1.closest(1, 5, 50)(iter(_buckets_of_keys(texts))))))
+        assert {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in found.to_pylist()} == near
+
+
 def _buckets_of_keys(texts):
     """The nodes of distinct texts with their keys, all in one bucket."""
     rows = []
