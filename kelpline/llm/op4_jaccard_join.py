@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_pairs, batches, checkpointed, connected_components, id_hash, local_components, partitions, rows, split_by, to_buckets, unpack, with_id
+from .common import all_pairs, batches, checkpointed, connected_components, id_hash, local_components, partitions, rows, split_by, tidy, to_buckets, unpack, with_id
 from .textkit import group_starts, mix, ngrams, words
 
 U64 = np.uint64
@@ -101,6 +101,7 @@ def spread(n: int, parts: int):
             out["low"].append(b""), out["high"].append(b"")
         yield rows(GRAMS, **out)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, docs, grams, held, base = [], [], [], [], 0, 0
         for batch in batches(it):
@@ -145,6 +146,7 @@ def _unique_wide(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def count_documents(parts: int):
     """A gram bucket: drops grams of one document, returns the others with the order of their document count."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, low, high, bucket = [], [], [], [], None
         for batch in batches(it):
@@ -202,6 +204,7 @@ def count_documents(parts: int):
 def gather(t: float):
     """A document bucket: the shared grams of each document in global order; documents that can have no partner go."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_ids, sizes, ids, counts, keys = [], [], [], [], []
         for batch in batches(it):
@@ -241,6 +244,7 @@ def gather(t: float):
 def prefix_postings(t: float, parts: int):
     """The prefix grams of the sets, packed by bucket; of equal sets of a task that of the first, the least doc_id."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches(it):
@@ -282,6 +286,7 @@ def marks_of(key: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
 def link(t: float):
     """A bucket of prefix grams: a spanning forest of the documents that share one and may reach t."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list] = [[] for _ in POSTED]
         for batch in batches(it):
@@ -427,6 +432,7 @@ def walk(t: float, found):
         i, j, over = join_component(full, [sets[x] for x in order], t, np.array([sides[x] for x in order]) if across else None)
         return found(heads, full, i, j, over) if len(i) else None
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
         for batch in batches(it):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, rows, with_id
+from .common import batches, rows, tidy, with_id
 from .fm_index import FMIndex
 from .textkit import WORD_PATTERN, group_starts, words
 
@@ -208,6 +208,7 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases: i
     else:
         spans = lambda batch: leaks(batch.column(1), slices[0])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             if found := spans(batch):
@@ -240,6 +241,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 8, max_phrases:
     else:
         found = lambda batch: leaks(batch.column(where), slices[0])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             spans: dict[int, list[tuple[int, int]]] = {}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, rows, with_id
+from .common import batches, rows, tidy, with_id
 from .textkit import group_starts, words
 
 U64 = np.uint64
@@ -95,6 +95,7 @@ def swaps(text: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> li
 def extract(identities: tuple[tuple[str, ...], ...]):
     """Feature sets of the sample's texts (pair 0) and of their swapped copies (pair 1, 2, ...)."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             ids, texts, ks = [], [], []
@@ -240,6 +241,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("toxicity", pa.float64()), ("toxic"
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, toxicity and toxic of every document that has a doc_id."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             p = score_column(model, batch.column(1))
@@ -258,6 +260,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = train(docs, labels, **options)
     at = docs.columns.index("text")
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             yield batch.filter(pa.array(score_column(model, batch.column(at)) < model.threshold))

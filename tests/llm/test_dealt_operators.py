@@ -21,7 +21,7 @@ from kelpline.llm import op8_chunk_dedup as op8
 from kelpline.llm import op9_toxicity as op9
 from kelpline.llm import op10_token_binary as op10
 from kelpline.llm import registry
-from kelpline.llm.common import connected_components
+from kelpline.llm.common import connected_components, hand_back, spanning
 from kelpline.llm.simple8b import decode_blocks
 from kelpline.llm.textkit import WORD_PATTERN, words
 
@@ -806,6 +806,24 @@ def test_pipeline_against_its_parts(spark, docs, labels, benchmark, tmp_path):
     assert have == {i: n for i, n in size.items() if n}
 
 
+@pytest.mark.parametrize("task", [op1.to_blocks, spanning])
+def test_tasks_hand_their_memory_back(task):
+    def used():
+        return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    held = []
+
+    def source():
+        some = [np.ones(10_000) for _ in range(3000)]  # 240 MB in pieces below one that stays, which an allocator keeps when they are freed
+        held.append(np.ones(10_000))
+        del some
+        yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"] if task is op1.to_blocks else [2])], names=["doc_id", "text"])
+
+    hand_back()  # what earlier tests left
+    before = used()
+    assert sum(b.num_rows for b in task(source())) == 1 and used() - before < 80
+
+
 def test_every_operator_is_registered():
     names = list(registry.QUERIES)
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
