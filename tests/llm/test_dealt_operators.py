@@ -205,6 +205,33 @@ def test_all_shared_words_find_partners(spark, monkeypatch):
         assert {r["doc_id"]: list(zip(r["near"], r["shared"])) for r in found.to_pylist()} == near
 
 
+@pytest.mark.parametrize("meet, members", [(0, 700), (3, 700), (64, 700), (64, 1), (200, 700)])
+def test_two_parts_meet_once_for_both(monkeypatch, meet, members):
+    rng = np.random.default_rng(8)
+    own = [set(rng.choice(np.minimum(rng.zipf(1.3, 4 * n), 90), n)) for n in rng.integers(1, 40, 160)]
+    weight = {int(x): round(1024 * np.log(161 / n)) + 1 for x, n in Counter(x for v in own for x in v).items()}
+    shared = [[sum(weight[x] for x in v & w) for w in own] for v in own]
+
+    def part(lo, hi):
+        texts = [sorted(v, key=lambda x: -weight[x]) for v in own[lo:hi]]
+        names = np.unique(np.concatenate(texts)).astype(np.uint64)
+        block = {"ids": np.arange(lo, hi), "sizes": np.array([len(t) for t in texts]), "tokens": np.searchsorted(names, np.concatenate(texts).astype(np.uint64)).astype(np.uint32), "names": names, "weights": np.array([weight[int(x)] for x in names], np.uint16)}
+        floor = [max(1, sorted((s for j, s in enumerate(shared[i]) if j != i), reverse=True)[5] - 300 * (i % 7)) for i in range(lo, hi)]
+        return op1.joined([block]) | {"least": np.array(floor)}
+
+    monkeypatch.setattr(op1, "MEET", meet), monkeypatch.setattr(op1, "MEMBERS", members)
+    if meet > 90:  # all words are left to the matrix, so that no node has another
+        split = op1.commonest
+        monkeypatch.setattr(op1, "commonest", lambda *x: split(*x[:-1], tuple(v * 1e9 for v in x[-1])))
+    a, b = part(0, 70), part(70, 160)
+    got = op1.nearest(*map(np.concatenate, zip(*op1.nearest_in_part(a, b, 0, 70, 3, both=True))), 3)
+    want = set()
+    for i in range(160):
+        floor, others = (a["least"][i], range(70, 160)) if i < 70 else (b["least"][i - 70], range(70))
+        want |= {(i, j, s) for s, j in sorted((-shared[i][j], j) for j in others)[:3] if -s >= floor for s in [-s]}
+    assert set(zip(*(x.tolist() for x in got))) == want and len({i < 70 for i, _, _ in want}) == 2
+
+
 def _buckets_of_keys(texts):
     """The nodes of distinct texts with their keys, all in one bucket."""
     rows = []
