@@ -30,8 +30,8 @@ def word_occurrences(docs: DataFrame, terms: list[str] | None = None) -> DataFra
 
     With terms, only these become rows: documents without them are dropped while they are scanned.
     """
-    base = docs.select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("ws"), block_bit(F.col("source")).alias("feature"))
-    base = base.withColumn("len", F.size("ws"))
+    base = docs.select(F.col("doc_id").alias("doc"), "text", block_bit(F.col("source")).alias("feature"))
+    base = held(base, "ws", tokens(F.col("text"))).drop("text").withColumn("len", F.size("ws"))
     if terms is not None:
         spots = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(terms))
         some = base.select("doc", "feature", "len", F.explode(spots).alias("x"))
@@ -41,14 +41,65 @@ def word_occurrences(docs: DataFrame, terms: list[str] | None = None) -> DataFra
 
 def dependency_occurrences(docs: DataFrame) -> DataFrame:
     """The same for dependencies, here of each word on the next one of its line, at the first word's position."""
-    base = docs.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"), block_bit(F.col("source")).alias("feature"))
-    base = base.withColumn("ls", F.transform("lines", tokens))
-    base = base.withColumn("len", F.aggregate("ls", F.lit(0), lambda a, x: a + F.size(x)))
-    line = base.select("doc", "feature", "len", F.posexplode("ls").alias("line", "ws"), F.col("ls"))
-    line = line.withColumn("before", F.aggregate(F.slice("ls", F.lit(1), F.col("line")), F.lit(0), lambda a, x: a + F.size(x)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.struct((F.col("before") + i - 1).alias("pos"), F.concat(F.element_at("ws", i.cast("int")), F.lit("->"), F.element_at("ws", (i + 1).cast("int"))).alias("term")))
-    out = line.where(F.size("ws") > 1).select("doc", F.explode(pairs).alias("p"), "feature", "len")
-    return out.select("doc", F.col("p.pos").cast("int").alias("pos"), F.col("p.term").alias("term"), F.lit(DEPENDENCY).alias("index_type"), F.lit(1.0).alias("score"), "feature", "len")
+    base = docs.select(F.col("doc_id").alias("doc"), "text", block_bit(F.col("source")).alias("feature"))
+    words = lambda x, i: F.transform(tokens(x), lambda w: F.struct(w.alias("w"), i.alias("line")))
+    base = held(base, "ws", F.flatten(F.transform(F.split("text", "\n"), words))).drop("text").withColumn("len", F.size("ws"))
+    n = F.greatest(F.size("ws") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("ws", F.lit(1), n), F.slice("ws", F.lit(2), n), lambda a, b: F.when(a["line"] == b["line"], F.concat(a["w"], F.lit("->"), b["w"])))
+    out = base.select("doc", F.posexplode(pairs).alias("pos", "term"), "feature", "len").where("term IS NOT NULL")
+    return out.select("doc", "pos", "term", F.lit(DEPENDENCY).alias("index_type"), F.lit(1.0).alias("score"), "feature", "len")
+
+
+def held(base: DataFrame, name: str, value: Column) -> DataFrame:
+    """base with a column out of a generator, evaluated once: a projection would be folded into later lambdas and filters."""
+    return base.select("*", F.explode(F.array(value)).alias(name))
+
+
+def own_ids(docs: DataFrame) -> bool:
+    """No doc_id is repeated (a missing one counts as one). Reads this column alone, at once."""
+    return (docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0) <= 1
+
+
+def word_lists(docs: DataFrame) -> DataFrame:
+    """doc, feature and terms: a document's words in order, one row a document."""
+    base = docs.select(F.col("doc_id").alias("doc"), block_bit(F.col("source")).alias("feature"), "text")
+    return held(base, "terms", tokens(F.col("text"))).drop("text")
+
+
+def dependency_lists(docs: DataFrame) -> DataFrame:
+    """The same of dependencies of each word on the next one of its line."""
+    base = docs.select(F.col("doc_id").alias("doc"), block_bit(F.col("source")).alias("feature"), "text")
+
+    def pairs(ws: Column) -> Column:
+        n = F.greatest(F.size(ws) - 1, F.lit(0))
+        return F.zip_with(F.slice(ws, F.lit(1), n), F.slice(ws, F.lit(2), n), lambda a, b: F.concat(a, F.lit("->"), b))
+
+    lines = F.transform(F.split("text", "\n"), tokens)
+    return held(base, "terms", F.flatten(F.transform(lines, pairs))).drop("text")
+
+
+def term_counts(lists: DataFrame, n: bool = True) -> DataFrame:
+    """term, n (occurrences, if asked for) and df of lists of documents with ids of their own: counts are added before
+    the exchange, so that it holds a term of a task once and no document."""
+    if not n:
+        return lists.select("doc", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("doc").alias("df"))
+    both = lists.select("doc", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("k", "ts")).select("doc", "k", F.explode("ts").alias("term"))
+    return both.groupBy("term").agg(F.count_if(F.col("k") == 0).alias("n"), F.count(F.when(F.col("k") == 1, F.col("doc"))).alias("df"))
+
+
+def document_postings(lists: DataFrame) -> DataFrame:
+    """term, doc, total, feature, positions of lists of documents with ids of their own, grouped within each row."""
+    at = F.sort_array(F.transform("terms", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    base = held(lists, "at", at).drop("terms")
+    first = F.transform("at", lambda x, i: F.when((i == 0) | (x["term"] != F.get("at", i - 1)["term"]), i))
+    base = held(base, "starts", F.filter(first, lambda i: i.isNotNull()))
+
+    def posting(s: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("starts", k + 1), F.size("at")) - s
+        return F.struct(F.get("at", s)["term"].alias("term"), n.cast("double").alias("total"), F.transform(F.slice("at", s + 1, n), lambda x: x["pos"]).alias("positions"))
+
+    out = base.select("doc", "feature", F.explode(F.transform("starts", posting)).alias("p"))
+    return out.select("p.term", "doc", "p.total", "feature", "p.positions")
 
 
 def synonym_occurrences(words: DataFrame, synonyms: DataFrame, score: float = 0.99) -> DataFrame:
@@ -161,9 +212,11 @@ def hygiene(df: DataFrame, least: int = 4) -> DataFrame:
     t, n = F.col("term"), F.col("df")
     symbols = F.length(F.regexp_replace(t, r"[\p{L}\p{N}]", "")) * 2 > F.length(t)
     bad = (n < least) | (t.rlike(r"^[0-9]{5,}$") & (n < 100000)) | t.rlike("[ァ-ヺ]{20,}") | t.rlike(r"[A-Za-z]{15,}") | t.rlike(r"^[A-Za-z]+(\+[A-Za-z]+){9,}$") | symbols
-    words = df.where(~t.contains("->") & ~bad)
+    # a filter stays above the generator, so that words and dependencies read one exchange of counts and not the texts again
+    df = held(df, "_kind", F.when(t.contains("->"), F.when(n >= least, "dependency")).when(~bad, "word"))
+    words = df.where("_kind = 'word'").drop("_kind")
     known = words.select(F.col("term").alias("_t"))
-    deps = df.where(t.contains("->") & (n >= least))
+    deps = df.where("_kind = 'dependency'").drop("_kind")
     deps = deps.join(known, F.split_part("term", F.lit("->"), F.lit(1)) == F.col("_t"), "left_semi").join(known, F.split_part("term", F.lit("->"), F.lit(2)) == F.col("_t"), "left_semi")
     return words.unionByName(deps)
 

@@ -160,7 +160,10 @@ p AS (SELECT doc, ws, unnest(range(1, len(ws))) AS i FROM t WHERE len(ws) > 1)""
 
 @register("index_dependencies", f"WITH {DEP} SELECT ws[i] || '->' || ws[i + 1] AS term, count(*) AS n, count(DISTINCT doc) AS df FROM p GROUP BY 1")
 def index_dependencies(spark, sf_dir: str) -> DataFrame:
-    return ix.dependency_occurrences(docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("df"))
+    d = docs(spark, sf_dir)
+    if ix.own_ids(d):
+        return ix.term_counts(ix.dependency_lists(d))
+    return ix.dependency_occurrences(d).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("df"))
 
 
 @register("index_frequency_cut", f"WITH {DEP} SELECT ws[i] || '->' || ws[i + 1] AS term, count(DISTINCT doc) AS df FROM p GROUP BY 1 HAVING count(DISTINCT doc) > 2")
