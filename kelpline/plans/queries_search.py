@@ -168,7 +168,9 @@ def index_dependencies(spark, sf_dir: str) -> DataFrame:
 
 @register("index_frequency_cut", f"WITH {DEP} SELECT ws[i] || '->' || ws[i + 1] AS term, count(DISTINCT doc) AS df FROM p GROUP BY 1 HAVING count(DISTINCT doc) > 2")
 def index_cut(spark, sf_dir: str) -> DataFrame:
-    return ix.cut_frequencies(ix.document_frequency(ix.dependency_occurrences(docs(spark, sf_dir))).select("term", "df"), dependency_above=2)
+    d = docs(spark, sf_dir)
+    df = ix.term_counts(ix.dependency_lists(d), n=False) if ix.own_ids(d) else ix.document_frequency(ix.dependency_occurrences(d)).select("term", "df")
+    return ix.cut_frequencies(df, dependency_above=2)
 
 
 HYGIENE_BAD = r"df < 4 OR (regexp_matches(term, '^[0-9]{5,}$') AND df < 100000) OR regexp_matches(term, '[A-Za-z]{15,}')"
