@@ -128,7 +128,8 @@ def hit_count(spark, sf_dir: str) -> DataFrame:
 
 @register("index_postings", f"WITH {OCC} SELECT term, doc, count(*)::DOUBLE AS total, any_value(feature) AS feature, list_sort(list(pos)) AS positions FROM o GROUP BY term, doc")
 def index_postings(spark, sf_dir: str) -> DataFrame:
-    return ix.postings(ix.word_occurrences(docs(spark, sf_dir))).drop("index_type")
+    d = docs(spark, sf_dir)
+    return ix.document_postings(ix.word_lists(d)) if ix.own_ids(d) else ix.postings(ix.word_occurrences(d)).drop("index_type")
 
 
 @register("index_document_frequency", f"WITH {OCC} SELECT term, count(DISTINCT doc) AS df FROM o GROUP BY term")
