@@ -184,9 +184,12 @@ def index_hygiene(spark, sf_dir: str) -> DataFrame:
 
 @register("index_text_lines", f"WITH {OCC}, p AS (SELECT term, doc, doc || ':' || printf('%.2f', count(*)::DOUBLE) || '@0#' || string_agg(pos || '&1', ',' ORDER BY pos) AS x FROM o GROUP BY term, doc) SELECT term, term || ' ' || string_agg(x, ' ' ORDER BY doc) AS line FROM p GROUP BY term")
 def index_text_lines(spark, sf_dir: str) -> DataFrame:
-    o = ix.word_occurrences(docs(spark, sf_dir))
-    posts = o.groupBy("term", "doc").agg(F.sum("score").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("occ")).withColumn("sentences", F.array(F.lit(0)))
-    return ix.text_lines(posts)
+    d = docs(spark, sf_dir)
+    if ix.own_ids(d):
+        posts = ix.document_postings(ix.word_lists(d)).select("term", "doc", "total", F.transform("positions", lambda p: F.struct(p.alias("pos"), F.lit(1.0).alias("score"))).alias("occ"))
+    else:
+        posts = ix.word_occurrences(d).groupBy("term", "doc").agg(F.sum("score").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("occ"))
+    return ix.text_lines(posts.withColumn("sentences", F.array(F.lit(0))))
 
 
 @register("index_document_feature", f"WITH {OCC} SELECT doc, bit_or(feature) AS feature FROM o GROUP BY doc")
