@@ -79,14 +79,26 @@ class Evaluator:
     def near(self, op: str, children: list[Node | Leaf], distance: int | None) -> Column:
         places = [self.positions(c) for c in children]
         if op == "PHRASE":
-            return F.exists(places[0], lambda p: reduce(lambda a, b: a & b, [F.array_contains(q, p + i) for i, q in enumerate(places[1:], 1)]))
-        if op == "ORDERED_PROX":
-            # the earliest continuation of each start is the tightest one
-            def last(p: Column) -> Column:
-                return reduce(lambda at, q: F.array_min(F.filter(q, lambda y: y >= at)), places[1:], p)
-
-            return F.exists(places[0], lambda p: F.coalesce(last(p) - p <= distance, F.lit(False)))
-        return F.exists(F.flatten(F.array(*places)), lambda p: reduce(lambda a, b: a & b, [F.exists(q, lambda y: (y >= p) & (y <= p + distance)) for q in places]))
+            starts = lambda q, i: F.transform(q, lambda p: p - i)
+            return F.size(reduce(F.array_intersect, [starts(q, i) for i, q in enumerate(places)])) > 0
+        # one sweep over the places of all children in order
+        marked = lambda q, i: F.transform(q, lambda p: F.struct(p.alias("pos"), F.lit(i).alias("child")))
+        every = F.array_sort(F.flatten(F.array(*(marked(q, i) for i, q in enumerate(places)))))
+        k, none = len(places), F.lit(None).cast("int")
+
+        def sweep(s: Column, x: Column) -> Column:
+            pos = x["pos"]
+            if op == "ORDERED_PROX":
+                # per child, the latest start from which the children up to it have followed each other
+                at = [F.when(x["child"] == i, pos if i == 0 else s[f"c{i - 1}"]).otherwise(s[f"c{i}"]) for i in range(k)]
+                met = (x["child"] == k - 1) & (pos - (s[f"c{k - 2}"] if k > 1 else pos) <= distance)
+            else:
+                # per child, its latest place
+                at = [F.when(x["child"] == i, pos).otherwise(s[f"c{i}"]) for i in range(k)]
+                met = reduce(lambda a, b: a & b, [a.isNotNull() & (pos - a <= distance) for a in at])
+            return F.struct(*(a.alias(f"c{i}") for i, a in enumerate(at)), (s["met"] | F.coalesce(met, F.lit(False))).alias("met"))
+
+        return F.aggregate(every, F.struct(*(none.alias(f"c{i}") for i in range(k)), F.lit(False).alias("met")), sweep, lambda s: s["met"])
 
     def bm25(self, freq: Column, x: Leaf) -> Column:
         return bm25(freq, F.col("len"), F.col("n_docs"), F.col("average"), F.col(f"df{x.id}"), self.w)
