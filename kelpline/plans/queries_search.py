@@ -19,6 +19,11 @@ st AS (SELECT count(*) AS n, avg(len(ws)) AS av FROM d WHERE len(ws) > 0)
 """
 
 
+def word_df(d: DataFrame) -> DataFrame:
+    """term and df of the words of documents."""
+    return ix.term_counts(ix.word_lists(d), n=False) if ix.own_ids(d) else ix.document_frequency(ix.word_occurrences(d)).select("term", "df")
+
+
 def docs(spark, sf_dir: str) -> DataFrame:
     return ix.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -134,7 +139,7 @@ def index_postings(spark, sf_dir: str) -> DataFrame:
 
 @register("index_document_frequency", f"WITH {OCC} SELECT term, count(DISTINCT doc) AS df FROM o GROUP BY term")
 def index_df(spark, sf_dir: str) -> DataFrame:
-    return ix.document_frequency(ix.word_occurrences(docs(spark, sf_dir))).select("term", "df")
+    return word_df(docs(spark, sf_dir))
 
 
 @register("index_merge_shard_frequencies", f"WITH {OCC} SELECT term, count(DISTINCT doc) AS df FROM o GROUP BY term")
@@ -179,7 +184,7 @@ HYGIENE_BAD = r"df < 4 OR (regexp_matches(term, '^[0-9]{5,}$') AND df < 100000)
 
 @register("index_term_hygiene", f"WITH {OCC}, f AS (SELECT term, count(DISTINCT doc) AS df FROM o GROUP BY term) SELECT term, df FROM f WHERE NOT ({HYGIENE_BAD})")
 def index_hygiene(spark, sf_dir: str) -> DataFrame:
-    return ix.hygiene(ix.document_frequency(ix.word_occurrences(docs(spark, sf_dir))).select("term", "df"))
+    return ix.hygiene(word_df(docs(spark, sf_dir)))
 
 
 @register("index_text_lines", f"WITH {OCC}, p AS (SELECT term, doc, doc || ':' || printf('%.2f', count(*)::DOUBLE) || '@0#' || string_agg(pos || '&1', ',' ORDER BY pos) AS x FROM o GROUP BY term, doc) SELECT term, term || ' ' || string_agg(x, ' ' ORDER BY doc) AS line FROM p GROUP BY term")
