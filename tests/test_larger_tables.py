@@ -99,3 +99,13 @@ def test_near_in_long_documents(spark, op):
     began = time.time()
     found = hits(ix.Corpus(spark.createDataFrame(rows, "doc_id long, text string, source string")), Node(op, [Leaf(t) for t in terms], 3))
     assert {r["doc"] for r in found.select("doc").collect()} == want and time.time() - began < 30
+
+
+@pytest.mark.parametrize("query", ["extract_words", "extract_dependencies"])
+def test_terms_are_found_within_the_row(spark, tmp_path, query):
+    path = table(spark, tmp_path)
+    got = entry.queries()[query](spark, path)
+    p = plan(got)
+    assert p.count("Exchange hashpartitioning") == 1 and "Window" not in p and "Join" not in p
+    one = Counter(w for _, _, w in words(TEXTS)) if query == "extract_words" else Counter(t for _, t in pairs(TEXTS))
+    assert {r["term"]: r["n"] for r in got.where("NOT contains(term, '*')").collect()} == one
